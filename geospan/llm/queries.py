@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, neardup, sharding, toxicity
+from . import archive, bpe, langid, lm, mixing, neardup, outliers, sharding, topk, toxicity
 
-_MODULES = (toxicity, neardup, sharding, langid, bpe, mixing)
+_MODULES = (toxicity, neardup, sharding, langid, archive, bpe, mixing, lm, topk, outliers)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
