@@ -275,7 +275,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         return hashes, first
     while True:
         last //= FAN_IN
-        copies = copies.groupBy(F.expr(f"part div {FAN_IN}").alias("part"), "name").applyInArrow(mean, schema)
+        copies = copies.groupBy(F.expr(f"part div {FAN_IN}").alias("up"), "name").applyInArrow(mean, schema)
         if last == 0:
             break
         copies = scratch.materialise(copies, "averaged")
