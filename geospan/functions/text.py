@@ -201,18 +201,20 @@ def spans(t: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, text>> of all matches of a pattern that doesn't match the empty text; in code points, null for null."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
 
-    def placed(found: Column) -> Column:
-        gaps = F.slice(F.split(t, p, -1), F.lit(1), F.greatest(F.size(found), F.lit(0)))
-        lengths = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: F.struct(F.length(x.g).alias("g"), (F.length(x.g) + F.length(x.m)).alias("step"), x.m.alias("m")))
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    return F.when(t.isNotNull(), let(F.regexp_extract_all(t, p, F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m, F.split(t, p, -1))).otherwise(none)))
 
-        def at(each: Column) -> Column:
-            before = running(F.transform(each, lambda x: x.step))
-            return F.zip_with(before, each, lambda b, x: F.struct((b + x.g).cast("int").alias("start"), (b + x.step).cast("int").alias("end"), x.m.alias("text")))
 
-        return let(lengths, at)
+def placed(found: Column, between: Column) -> Column:
+    """spans() from the matches of a pattern and the pieces between them, of which there is one more."""
+    gaps = F.slice(between, F.lit(1), F.greatest(F.size(found), F.lit(0)))
+    lengths = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: F.struct(F.length(x.g).alias("g"), (F.length(x.g) + F.length(x.m)).alias("step"), x.m.alias("m")))
 
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    return F.when(t.isNotNull(), let(F.regexp_extract_all(t, p, F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none)))
+    def at(each: Column) -> Column:
+        before = running(F.transform(each, lambda x: x.step))
+        return F.zip_with(before, each, lambda b, x: F.struct((b + x.g).cast("int").alias("start"), (b + x.step).cast("int").alias("end"), x.m.alias("text")))
+
+    return let(lengths, at)
 
 
 def tokens(t: Column, lang: Column | None = None) -> Column:
@@ -239,7 +241,7 @@ def tokens_right(t: Column, n: int = 1) -> Column:
 
 def string_list(t: Column, delim: str = ",") -> Column:
     """Trimmed entries that aren't empty."""
-    return F.filter(F.transform(F.split(t, delim), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(t, delim), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def text_id(t: Column) -> Column:

@@ -339,7 +339,8 @@ def extract(docs: DataFrame, rules: Iterable[Rule], value: Callable[[Column, Rul
         return F.transform(T.spans(F.col("text"), r.regex), one)
 
     found = [matched(i, r) for i, r in enumerate(chosen)]
-    return docs.select("doc_id", F.explode(F.flatten(F.array(*found))).alias("m")).select("doc_id", "m.*")
+    # A plain explode would have all patterns matched twice, for a filter that the optimizer adds.
+    return docs.select("doc_id", F.explode_outer(F.flatten(F.array(*found))).alias("m")).where("m is not null").select("doc_id", "m.*")
 
 
 def coordinates(docs: DataFrame, families: Sequence[str] | None = None, source: str = COORDINATES) -> DataFrame:

@@ -39,7 +39,7 @@ def tag(docs: DataFrame, dictionary: DataFrame, lang: str | None = None) -> Data
     heads = keys.groupBy(F.split_part("phrase", F.lit(" "), F.lit(1)).alias("head")).agg(F.sort_array(F.collect_set("n")).alias("lengths"))
     found = T.tokens(F.col("text"), F.col(lang) if lang else None)
     windows = T.let(found, lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.slice(w, i, F.lit(max(longest, 1))))))
-    words = docs.select("doc_id", *(["text"] if lang is None else ["text", lang])).select("doc_id", F.explode(windows).alias("w"))
+    words = docs.select("doc_id", *(["text"] if lang is None else ["text", lang])).select("doc_id", F.explode_outer(windows).alias("w")).where("w is not null")  # a plain explode would have the windows made twice, for a filter
     words = words.withColumn("head", F.lower(T.fold(F.col("w")[0].text)))
     begun = words.join(heads, "head").select("doc_id", "w", F.explode(F.filter("lengths", lambda n: n <= F.size("w"))).alias("n"))
     phrase = F.array_join(F.transform(F.slice("w", F.lit(1), F.col("n")), lambda x: F.lower(T.fold(x.text))), " ")

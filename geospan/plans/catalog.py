@@ -59,7 +59,7 @@ def lexicon_counts_by_lang(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LDR = rf"""WITH {X.GAZ}, {X.TEXTS}, dict AS (SELECT phrase FROM gaz UNION SELECT lower(n_name) || ' ' || lower(r_name) FROM (SELECT replace(n_name, '_', ' ') AS n_name, n_regionkey FROM nation) JOIN region ON n_regionkey = r_regionkey),
-{X.tags_sql('text_fx', 'dict', 3)},
+{X.tags_sql('text_fx', 'dict', 4)},
 ordered AS (SELECT doc_id, list(struct_pack(s := start, e := "end") ORDER BY "end" - start DESC, start DESC) AS l FROM (SELECT DISTINCT doc_id, start, "end" FROM tags) GROUP BY doc_id),
 picked AS (SELECT doc_id, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN a ELSE list_concat(a, x) END) AS l FROM ordered)"""
 

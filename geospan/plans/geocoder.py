@@ -63,12 +63,13 @@ def candidates(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(
 def geocode(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(), ctx: Context = Context(), cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """(doc_id, start, end, text, place_id, name, cc, adm1, feat_class, feat_code, lat, lon, score, rules, second_id, confidence).
 
-    cut materialises the candidates, which all rules read: a function (df, name) that writes a table and reads it
-    back; without one they are persisted on disk.
+    cut materialises what all rules read: a function (df, name) that writes a table and reads it back; without one
+    it is persisted, in memory and on disk.
     """
     spark = docs.sparkSession
     cands = candidates(docs, gaz, params, ctx)
-    cands = cut(cands, "candidates") if cut else cands.persist()
+    keep = cut or (lambda df, name: df.persist())
+    cands = keep(cands, "candidates")
     gone = rules.bad_country_mention(cands).unionAll(rules.lone_codes(cands)).unionAll(rules.code_noise(cands))
     if ctx.person_names is not None:
         gone = gone.unionAll(rules.person_filter(cands, ctx.person_names))
@@ -76,19 +77,19 @@ def geocode(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(),
         related = rules.relations(cands, ctx.taxon_spans).where("relation in ('within', 'same')").select(*rules.SPAN).distinct()
         back = rules.contextual_org(related, cands, rules.province_context(cands))
         gone = gone.unionAll(related.join(back, [*rules.SPAN], "left_anti"))
-    left = cands.join(gone.distinct(), [*rules.SPAN], "left_anti")
+    left = keep(cands.join(gone.distinct(), [*rules.SPAN], "left_anti"), "left")
     countries, provinces = rules.country_context(left), rules.province_context(left)
     parts = [rules.default_score(left), rules.country_rule(left), rules.name_code_rule(left), rules.name_rule(left), rules.heat_map(left), rules.context_rule(left, countries, provinces, params.preferred_cc, params.preferred_cells)]
     population = ctx.population if ctx.population is not None else _empty(spark, "cell string, population long")
     parts.append(rules.major_place_rule(left, population, countries))
     if params.tag_coordinates:
-        coords = patterns.coordinates(docs)
+        coords = keep(patterns.coordinates(docs), "coordinates")
         parts.append(rules.coordinate_rule(left, coords))
         points = coords.select(F.struct("doc_id", "start").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
         near = lookup.province_at(points, gaz)
         parts.append(rules.province_rule(left, near.select("point_id.doc_id", "cc", "adm1")))
     parts += [r(left) for r in params.user_rules]
-    best = rules.chosen(rules.totals(left, parts))
+    best = keep(rules.chosen(rules.totals(left, parts)), "chosen")
     whole = rules.merged(rules.confidence(best, countries), rules.name_code_pairs(left))
     return whole.select(*rules.SPAN, "text", "place_id", "name", "cc", "adm1", "feat_class", "feat_code", "lat", "lon", F.round("score", 6).alias("score"), "rules", "second_id", "confidence")
 
