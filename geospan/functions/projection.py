@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 _A, _FLAT = 6378137.0, 1 / 298.257223563
 _N = _FLAT / (2 - _FLAT)
 _RECTIFYING = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
@@ -29,19 +31,27 @@ def _southern_edge(band: str) -> float:
 
 
 def utm_to_latlon(zone: Column, north: Column, easting: Column, northing: Column) -> Column:
-    """struct<lat, lon> in degrees."""
-    xi = (northing - F.when(north, F.lit(0.0)).otherwise(F.lit(_FALSE_NORTH))) / (_SCALE * _RECTIFYING)
-    eta = (easting - _FALSE_EAST) / (_SCALE * _RECTIFYING)
-    x, e = xi, eta
-    for j, b in enumerate(_BETA, 1):
-        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        e = e - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(x) / F.cosh(e))
-    lat = chi
-    for j, d in enumerate(_DELTA, 1):
-        lat = lat + d * F.sin(2 * j * chi)
-    lon = F.degrees(F.atan2(F.sinh(e), F.cos(x))) + zone * 6 - 183
-    return F.struct(F.degrees(lat).alias("lat"), lon.alias("lon"))
+    """struct<lat, lon> in degrees. Each step is worked out once: as nested expressions the series would grow out of bounds."""
+    start = F.struct(((northing - F.when(north, F.lit(0.0)).otherwise(F.lit(_FALSE_NORTH))) / (_SCALE * _RECTIFYING)).alias("xi"), ((easting - _FALSE_EAST) / (_SCALE * _RECTIFYING)).alias("eta"))
+
+    def conformal(p: Column) -> Column:
+        x, e = p.xi, p.eta
+        for j, b in enumerate(_BETA, 1):
+            x = x - b * F.sin(2 * j * p.xi) * F.cosh(2 * j * p.eta)
+            e = e - b * F.cos(2 * j * p.xi) * F.sinh(2 * j * p.eta)
+        return F.struct(x.alias("x"), e.alias("e"))
+
+    def geodetic(q: Column) -> Column:
+        def latitude(chi: Column) -> Column:
+            lat = chi
+            for j, d in enumerate(_DELTA, 1):
+                lat = lat + d * F.sin(2 * j * chi)
+            return F.degrees(lat)
+
+        lat = let(F.asin(F.sin(q.x) / F.cosh(q.e)), latitude)
+        return F.struct(lat.alias("lat"), (F.degrees(F.atan2(F.sinh(q.e), F.cos(q.x))) + zone * 6 - 183).alias("lon"))
+
+    return let(let(start, conformal), geodetic)
 
 
 def mgrs_to_utm(zone: Column, band: Column, square: Column, east: Column, north: Column) -> Column:
@@ -53,5 +63,5 @@ def mgrs_to_utm(zone: Column, band: Column, square: Column, east: Column, north:
     metres = lambda d: d.cast("double") * F.pow(F.lit(10.0), 5 - F.length(d))
     base = row * 100_000.0
     # Rows repeat every 2000 km: the first repeat at or above the band's edge.
-    northing = base + F.ceil((low - base) / 2_000_000.0) * 2_000_000.0 + metres(north)
+    northing = let(base, lambda b: b + F.ceil((low - b) / 2_000_000.0) * 2_000_000.0) + metres(north)
     return F.struct((column * 100_000.0 + metres(east)).alias("easting"), northing.alias("northing"))

@@ -294,14 +294,14 @@ def _coordinate(t: Column, rule: Rule) -> Column:
     if rule.family == "UTM":
         zone, band, e, n = (_field(t, rule, x) for x in ("zone", "band", "easting", "northing"))
         p = utm_to_latlon(zone.cast("int"), F.upper(band) >= "N", e.cast(_FLOAT), n.cast(_FLOAT))
-        return F.struct(p.lat.alias("lat"), p.lon.alias("lon"), F.lit(1.0).alias("prec_m"))
+        return T.let(p, lambda x: F.struct(x.lat.alias("lat"), x.lon.alias("lon"), F.lit(1.0).alias("prec_m")))
     if rule.family == "MGRS":
         zone, band, quad, offset = (_field(t, rule, x) for x in ("zone", "band", "quad", "offset"))
         digits = F.regexp_replace(offset, r"\s", "")
         half = F.floor(F.length(digits) / 2).cast("int")
         u = mgrs_to_utm(zone.cast("int"), F.upper(band), quad, F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, half))
-        p = utm_to_latlon(zone.cast("int"), F.upper(band) >= "N", u.easting, u.northing)
-        return F.struct(p.lat.alias("lat"), p.lon.alias("lon"), F.pow(F.lit(10.0), 5 - half).alias("prec_m"))
+        p = T.let(u, lambda x: utm_to_latlon(zone.cast("int"), F.upper(band) >= "N", x.easting, x.northing))
+        return T.let(p, lambda x: F.struct(x.lat.alias("lat"), x.lon.alias("lon"), F.pow(F.lit(10.0), 5 - half).alias("prec_m")))
     return F.struct(_ordinate(t, rule, "Lat").alias("lat"), _ordinate(t, rule, "Lon").alias("lon"), _precision(t, rule).alias("prec_m"))
 
 

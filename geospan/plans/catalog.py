@@ -362,7 +362,8 @@ cand AS (SELECT t.doc_id, t.start, t."end", substr(d.text, t.start + 1, t."end"
 
 
 def _cands(spark: SparkSession, d: str) -> DataFrame:
-    return geocoder.candidates(X.texts(spark, d), X.gazetteer(spark, d))
+    """Persisted, as rules read candidates several times."""
+    return geocoder.candidates(X.texts(spark, d), X.gazetteer(spark, d)).persist()
 
 
 _SPAN = 'doc_id, start, "end"'
@@ -441,16 +442,10 @@ def choose_best(spark: SparkSession, d: str) -> DataFrame:
     return best.groupBy("doc_id").agg(F.count(F.lit(1)).alias("mentions"), F.max(F.when(F.col("place_id").startswith("C"), F.col("place_id"))).alias("place_id"))
 
 
-@query()
-def geocode(spark: SparkSession, d: str) -> DataFrame:
-    """The whole geocoder over the fixture's texts: all rules, choice, confidence, merging."""
-    return geocoder.geocode(X.texts(spark, d), X.gazetteer(spark, d)).withColumn("rules", F.array_join("rules", ","))
-
-
 @query(f"""WITH {_CAND} SELECT doc_id, 'Customer ' || o_custkey || ', ' || n_name AS text, 'C' || o_custkey AS place_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT DISTINCT doc_id FROM cand) ON doc_id = o_orderkey""")
 def related_merge(spark: SparkSession, d: str) -> DataFrame:
     cands = _cands(spark, d)
-    best = rules.chosen(rules.totals(cands, [rules.default_score(cands), rules.name_code_rule(cands)]))
+    best = rules.chosen(rules.totals(cands, [rules.default_score(cands), rules.name_code_rule(cands)])).persist()
     whole = rules.merged(best, rules.name_code_pairs(cands))
     return whole.where("place_id like 'C%'").select("doc_id", "text", "place_id")
 
@@ -459,8 +454,8 @@ def related_merge(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {X.GAZ}, {X.POSTAL} SELECT doc_id, text, 0 AS c_start, length(text)::INTEGER AS c_end, 'Customer ' || doc_id AS city, adm1_name AS admin FROM post_fx JOIN (SELECT c_custkey, adm1_name FROM customer JOIN nat ON c_nationkey = nk) ON c_custkey = doc_id""")
 def postal_derive(spark: SparkSession, d: str) -> DataFrame:
     texts = X.postal_texts(spark, d)
-    post = postal.candidates(geocoder.candidates(texts, X.postal_gazetteer(spark, d)))
-    linked = postal.linked(postal.pairs(post, geocoder.candidates(texts, X.gazetteer(spark, d))))
+    post = postal.candidates(geocoder.candidates(texts, X.postal_gazetteer(spark, d), geocoder.Parameters(postal=True))).persist()
+    linked = postal.linked(postal.pairs(post, geocoder.candidates(texts, X.gazetteer(spark, d)).persist()).persist())
     return linked.join(texts.select("doc_id", F.col("text").alias("t")), "doc_id").select("doc_id", F.substring("t", F.col("c_start") + 1, F.col("c_end") - F.col("c_start")).alias("text"), "c_start", "c_end", "city", "admin")
 
 

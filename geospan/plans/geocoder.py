@@ -22,6 +22,7 @@ class Parameters:
     tag_coordinates: bool = True
     lower_case: bool = False
     min_len: int = 2
+    postal: bool = False  # numbers and codes are wanted
     preferred_cc: Sequence[str] = ()
     preferred_cells: Sequence[str] = ()
     user_rules: Sequence[Rule] = field(default_factory=tuple)
@@ -47,7 +48,7 @@ def candidates(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(
     found = tagger.longest_dominant_right(tagger.tag(docs, gaz))
     spans = tagger.with_text(tagger.limited(found), docs)
     t = F.col("text")
-    bad = filters.too_short(t) | filters.broken_lines(t) | filters.nonsense(t) | filters.non_latin_noise(t) | filters.contraction(t, F.col("before")) | (F.length(t) < params.min_len)
+    bad = filters.too_short(t) | filters.broken_lines(t) | (F.lit(not params.postal) & filters.nonsense(t)) | filters.non_latin_noise(t) | filters.contraction(t, F.col("before")) | (F.length(t) < params.min_len)
     if not params.lower_case:
         bad = bad | filters.lower_phrase(t)
     if params.match_filter is not None:
