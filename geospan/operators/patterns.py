@@ -95,8 +95,8 @@ COORDINATES = rf"""
 #DEFINE fsLat \d\d
 #DEFINE fsLon \d\d
 #DEFINE zone [0-6]?\d
-#DEFINE band [C-HJ-NP-X]
-#DEFINE quad [A-HJ-NP-Z][A-HJ-NP-V]
+#DEFINE band (?![ABIOYZ])[A-Z]
+#DEFINE quad (?![IO])[A-Z](?![IO])[A-V]
 #DEFINE offset \d\d(?:\d\d)?(?:\d\d)?(?:\d\d)?(?:\d\d)?|\d{{2,5}}\s\d{{2,5}}
 #DEFINE easting \d{{6}}
 #DEFINE northing \d{{3,7}}
@@ -142,46 +142,46 @@ COORDINATES = rf"""
 #RULE DD DD-07 {_EDGE}<hLat><dLat>[\s]*[,;x/][\s]*<hLon><dLon>{_END}
 #TEST MGRS MGRS-01 38SMB4611036560
 #TEST UTM UTM-01 17N 699990 3333335
-#TEST DMS DMS-01fs-a 01°44'55.5"N 101°22'33.0"E
-#TEST DMS DMS-01fs-b N01°44'55.5" E101°22'33.0"
-#TEST DMS DMS-01fs-deg 01°44'55.5" 101°22'33.0"
-#TEST DMS DMS-01dot-a 01.44.55N 055.44.33E
-#TEST DMS DMS-01dot-b N01.44.55 E055.44.33
-#TEST DMS DMS-02 N42 18' 00" W102 24' 00"
-#TEST DMS DMS-01a 421800N 1022400W
-#TEST DMS DMS-02a N421800 W1022400
-#TEST DMS DMS-03a 4218001234N 10224001234W
-#TEST DMS DMS-03b N4218001234 W10224001234
-#TEST DM DM-00 4218N-009 10224W-003
-#TEST DM DM-01a 42 18-009N 102 24-003W
-#TEST DM DM-01a-dash 42-18-009N; 102-24-003W
-#TEST DM DM-01a-dot 42.18.009N 102.24.003W
-#TEST DM DM-01b N4218.009W10224.003
-#TEST DM DM-01b-dash N42 18-005 x W102 24-008
-#TEST DM DM-01b-dot N42.18.005 x W102.24.008
-#TEST DM DM-02a 4218.009N 10224.003W
-#TEST DM DM-02b N4218.0 W10224.0
-#TEST DM DM-02b-dash N4218-0018 W10224-0444
-#TEST DM DM-03a 4218009N10224003W
-#TEST DM DM-03b N4218009W10224003
-#TEST DM DM-03-av N42 18' W102 24'
-#TEST DM DM-03-av-deg 42° 18' 102° 24'
-#TEST DM DM-03-av-decdm 42° 18.44' 102° 24.11'
-#TEST DM DM-03-bv 42° 18'N 102° 24'W
-#TEST DM DM-04a N4218 W10224
-#TEST DM DM-04b 4218N 10224W
-#TEST DM DM-05 /4218N4/10224W5/
-#TEST DM DM-07 42 DEG 18.0N 102 DEG 24.0W
-#TEST DM DM-08 +42 18.0 x -102 24.0
-#TEST DD DD-01 N42.3, W102.4
-#TEST DD DD-02 42.3N; 102.4W
-#TEST DD DD-03 +42.3°;-102.4°
-#TEST DD DD-04 Latitude: N42.3° x Longitude: W102.3°
-#TEST DD DD-05 N42°, W102°
-#TEST DD DD-06 42° N, 102° W
-#TEST DD DD-07 N42, W102
-#TEST DD DD-01 N42, W102 FAIL
-#TEST DD DD-02 142.3.1 FAIL
+#TEST DMS DMS-01fs-a 04°29'47.5"N 113°25'26.0"E
+#TEST DMS DMS-01fs-b N04°29'47.5" E113°25'26.0"
+#TEST DMS DMS-01fs-deg 04°29'47.5" 113°25'26.0"
+#TEST DMS DMS-01dot-a 04.29.47N 047.29.26E
+#TEST DMS DMS-01dot-b N04.29.47 E047.29.26
+#TEST DMS DMS-02 N37 46' 00" W121 31' 00"
+#TEST DMS DMS-01a 374600N 1213100W
+#TEST DMS DMS-02a N374600 W1213100
+#TEST DMS DMS-03a 3746001234N 12131001234W
+#TEST DMS DMS-03b N3746001234 W12131001234
+#TEST DM DM-00 3746N-009 12131W-003
+#TEST DM DM-01a 37 46-009N 121 31-003W
+#TEST DM DM-01a-dash 37-46-009N; 121-31-003W
+#TEST DM DM-01a-dot 37.46.009N 121.31.003W
+#TEST DM DM-01b N3746.009W12131.003
+#TEST DM DM-01b-dash N37 46-005 x W121 31-008
+#TEST DM DM-01b-dot N37.46.005 x W121.31.008
+#TEST DM DM-02a 3746.009N 12131.003W
+#TEST DM DM-02b N3746.0 W12131.0
+#TEST DM DM-02b-dash N3746-0046 W12131-0294
+#TEST DM DM-03a 3746009N12131003W
+#TEST DM DM-03b N3746009W12131003
+#TEST DM DM-03-av N37 46' W121 31'
+#TEST DM DM-03-av-deg 37° 46' 121° 31'
+#TEST DM DM-03-av-decdm 37° 46.29' 121° 31.11'
+#TEST DM DM-03-bv 37° 46'N 121° 31'W
+#TEST DM DM-04a N3746 W12131
+#TEST DM DM-04b 3746N 12131W
+#TEST DM DM-05 /3746N4/12131W5/
+#TEST DM DM-07 37 DEG 46.0N 121 DEG 31.0W
+#TEST DM DM-08 +37 46.0 x -121 31.0
+#TEST DD DD-01 N37.3, W121.4
+#TEST DD DD-02 37.3N; 121.4W
+#TEST DD DD-03 +37.3°;-121.4°
+#TEST DD DD-04 Latitude: N37.3° x Longitude: W121.3°
+#TEST DD DD-05 N37°, W121°
+#TEST DD DD-06 37° N, 121° W
+#TEST DD DD-07 N37, W121
+#TEST DD DD-01 N37, W121 FAIL
+#TEST DD DD-02 137.3.1 FAIL
 """
 #: For profiles: a bare pair of decimal degrees is enough.
 LOOSE = r"""
@@ -192,8 +192,8 @@ LOOSE = r"""
 #DEFINE ddLat \d?\d\.\d{1,20}
 #DEFINE ddLon [01]?\d?\d\.\d{1,20}
 #RULE DD LOOSE <hLat>?<sLat>?<ddLat>\s*,\s*<hLon>?<sLon>?<ddLon>
-#TEST DD LOOSE at 42.3, +102.4
-#TEST DD LOOSE at 42, 102 FAIL
+#TEST DD LOOSE at 37.3, +121.4
+#TEST DD LOOSE at 37, 121 FAIL
 """
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 DATES = r"""
