@@ -5,13 +5,18 @@ right: per-place embeddings are summed into a hidden layer, and a two-level soft
 token within the class) gives a proper probability. A document's score is the sum of the log-
 probabilities of all its tokens, each given both sides.
 
-Tokens are words: the most frequent of the corpus have ids of their own, the rest share hashed ids.
+Tokens are words. The most frequent of the corpus, about the square root of its number of tokens
+(FREQUENT at least), have ids of their own; the rest share hashed ids, and each is charged its own
+part of the shared id: n(word) / (n(id) + 1). What is left, 1 / (n(id) + 1), is that of a word the
+corpus doesn't have. So every word has its own probability, and they sum to one.
 
 The corpus is gathered in two passes over all documents. Words are counted, within tasks and then
 by a shuffle, which sets the vocabulary and the output biases. Then every task trains a copy of the
 network on all of its documents, where each token is masked with probability MASK (a hash of its
 place decides) and predicted; the copies are averaged, weighted by their numbers of targets, in a
-tree of bounded fan-in. What moves in either grows with the input; the model's size doesn't.
+tree of bounded fan-in, a piece of the weights at a time. What moves in either grows with the
+input, the model's size with its square root. The counts of the words that share ids are never held
+in one place: the words of the documents meet them by a shuffle.
 
 Defined results
 * null or empty text, or one without a word: 0 tokens, total 0, mean null;
@@ -22,6 +27,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,19 +48,28 @@ WORDS = 1 << 14
 FAN_IN = 32
 #: Distinct words that a task holds before it passes on what it has counted.
 HELD = 400_000
+#: Weights that are averaged at once.
+PIECE = 1 << 19
+#: The number of ids of the smallest model.
 SIZE = FREQUENT + HASHED
-WIDTH = SIZE // CLASSES
+
+
+def shape(tokens: int) -> tuple[int, int]:
+    """(classes, ids in each) of the model of a corpus of so many tokens; the last HASHED ids are the shared ones."""
+    n = max(FREQUENT, math.isqrt(tokens)) + HASHED
+    classes = max(CLASSES, math.isqrt(n))
+    return classes, -(-n // classes)
 
 
 class Vocabulary:
-    """ids by word hash: the frequent ones 0, 1, ... by falling count, others FREQUENT + hash mod HASHED; SIZE is the padding."""
+    """ids by word hash: the frequent ones 0, 1, ... by falling count, others frequent + hash mod HASHED, where frequent is the number of ids that aren't shared."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, frequent: int):
         order = np.argsort(hashes, kind="stable")
-        self.sorted, self.rank = hashes[order], order.astype(np.int32)
+        self.sorted, self.rank, self.frequent = hashes[order], order.astype(np.int32), frequent
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        out = (FREQUENT + (hashes >> np.uint64(40)) % np.uint64(HASHED)).astype(np.int32)
+        out = (self.frequent + (hashes >> np.uint64(40)) % np.uint64(HASHED)).astype(np.int32)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
             hit = self.sorted[at] == hashes
@@ -62,25 +77,25 @@ class Vocabulary:
         return out
 
 
-def start(counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
-    """Small random weights, and biases at the log-frequencies of classes and of tokens within them. counts: of each id."""
+def start(counts: np.ndarray, classes: int = CLASSES, seed: int = 3) -> dict[str, np.ndarray]:
+    """Small random weights, and biases at the log-frequencies of classes and of tokens within them. counts: of each id; the id after the last is the padding."""
     rng = np.random.default_rng(seed)
-    p = (counts + 0.5).astype(np.float64).reshape(CLASSES, WIDTH)
+    p = (counts + 0.5).astype(np.float64).reshape(classes, -1)
     return {
-        "in": rng.normal(0, 0.1, (2 * SIDE, SIZE + 1, HIDDEN)).astype(np.float32),
+        "in": rng.normal(0, 0.1, (2 * SIDE, len(counts) + 1, HIDDEN)).astype(np.float32),
         "in_bias": np.zeros(HIDDEN, np.float32),
-        "class": rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32),
+        "class": rng.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32),
         "class_bias": np.log(p.sum(axis=1) / p.sum()).astype(np.float32),
-        "token": rng.normal(0, 0.1, (CLASSES, HIDDEN, WIDTH)).astype(np.float32),
+        "token": rng.normal(0, 0.1, (classes, HIDDEN, p.shape[1])).astype(np.float32),
         "token_bias": np.log(p / p.sum(axis=1, keepdims=True)).astype(np.float32),
     }
 
 
-def padded(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def padded(ids: np.ndarray, offsets: np.ndarray, padding: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids with SIDE paddings before and after each document, places of the documents' own tokens)."""
     lengths = np.diff(offsets)
     places = kernel.ranges(offsets[:-1] - offsets[0] + SIDE * (2 * np.arange(len(lengths)) + 1), lengths)
-    out = np.full(int(lengths.sum()) + 2 * SIDE * len(lengths), SIZE, np.int32)
+    out = np.full(int(lengths.sum()) + 2 * SIDE * len(lengths), padding, np.int32)
     out[places] = ids[offsets[0] : offsets[-1]]
     return out, places
 
@@ -101,10 +116,11 @@ def forward(w: dict[str, np.ndarray], around: list[np.ndarray], target: np.ndarr
     a -= a.max(axis=1, keepdims=True)
     np.exp(a, out=a)
     a /= a.sum(axis=1, keepdims=True)
-    c, t = np.divmod(target, WIDTH)
-    order = np.argsort(c.astype(np.uint8), kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    hs, b = h[order], np.empty((len(target), WIDTH), np.float32)
+    classes, width = w["token_bias"].shape
+    c, t = np.divmod(target, width)
+    order = np.argsort(c.astype(np.uint16) if classes <= 1 << 16 else c, kind="stable")
+    bounds = np.searchsorted(c[order], np.arange(classes + 1))
+    hs, b = h[order], np.empty((len(target), width), np.float32)
     for k in np.flatnonzero(np.diff(bounds)):
         lo, hi = bounds[k], bounds[k + 1]
         np.matmul(hs[lo:hi], w["token"][k], out=b[lo:hi])
@@ -118,7 +134,7 @@ def forward(w: dict[str, np.ndarray], around: list[np.ndarray], target: np.ndarr
     return log_p, h, a, order, bounds, b
 
 
-def _add_rows(n: int, index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _add_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct indexes, the sum of the rows of each)."""
     order = np.argsort(index, kind="stable")
     at = np.flatnonzero(np.diff(index[order], prepend=-1))
@@ -129,7 +145,7 @@ def step(w: dict[str, np.ndarray], g: dict[str, np.ndarray], around: list[np.nda
     """One Adagrad step on a batch, in place; the mean log-probability before it."""
     log_p, h, a, order, bounds, b = forward(w, around, target)
     n = len(target)
-    c, t = np.divmod(target, WIDTH)
+    c, t = np.divmod(target, w["token_bias"].shape[1])
     i = np.arange(n)
     a[i, c] -= 1
     b[i, t[order]] -= 1
@@ -151,7 +167,7 @@ def step(w: dict[str, np.ndarray], g: dict[str, np.ndarray], around: list[np.nda
         g[name] += grad**2
         w[name] -= rate * grad / np.sqrt(g[name])
     for k in range(2 * SIDE):
-        u, rows = _add_rows(SIZE + 1, around[k], dh)
+        u, rows = _add_rows(around[k], dh)
         acc = g["in"][k]
         acc[u] += rows**2
         w["in"][k][u] -= rate * rows / np.sqrt(acc[u])
@@ -173,7 +189,7 @@ def train(w: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarr
         for lo, hi in kernel.blocks(offsets, WORDS):
             part = offsets[lo : hi + 1]
             own = ids[part[0] : part[-1]]
-            seq, places = padded(ids, part)
+            seq, places = padded(ids, part, w["in"].shape[1] - 1)
             places = places[masked(own, part)]
             for at in range(0, len(places), batch_targets):
                 some = places[at : at + batch_targets]
@@ -187,7 +203,7 @@ def score(w: dict[str, np.ndarray], ids: np.ndarray, offsets: np.ndarray) -> np.
     out = np.zeros(len(offsets) - 1)
     for lo, hi in kernel.blocks(offsets, WORDS):
         part = offsets[lo : hi + 1]
-        seq, places = padded(ids, part)
+        seq, places = padded(ids, part, w["in"].shape[1] - 1)
         log_p = np.empty(len(places), np.float32)
         for at in range(0, len(places), WORDS):  # a document longer than a block goes through in slices of its places
             some = places[at : at + WORDS]
@@ -221,34 +237,37 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the frequent words by falling count, counts of all SIZE ids)."""
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, DataFrame]:
+    """(hashes of the frequent words by falling count, counts of all ids, number of classes, counts of all words)."""
     table = scratch.materialise(counted(docs), "word-counts")
-    top = table.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    classes, width = shape(table.agg(F.sum("n")).first()[0] or 0)
+    frequent = classes * width - HASHED
+    top = table.orderBy(F.desc("n"), "word").limit(frequent).collect()
     hashes = np.array([r.word for r in top], np.int64).view(np.uint64)
-    counts = np.zeros(SIZE, np.int64)
+    counts = np.zeros(classes * width, np.int64)
     counts[: len(top)] = [r.n for r in top]
     bucket = F.pmod(F.shiftrightunsigned("word", 40), F.lit(HASHED))
     for r in table.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect():
-        counts[FREQUENT + r.b] = r.n
+        counts[frequent + r.b] = r.n
     for h, r in zip(hashes, top):
-        counts[FREQUENT + int(h >> np.uint64(40)) % HASHED] -= r.n
-    return hashes, counts
+        counts[frequent + int(h >> np.uint64(40)) % HASHED] -= r.n
+    return hashes, counts, classes, table
 
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """(frequent words, weights), from all documents."""
+def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], DataFrame]:
+    """(frequent words, counts of the ids, weights, counts of all words), from all documents."""
     spark = docs.sparkSession
-    hashes, counts = vocabulary(docs)
-    first = start(counts)
+    hashes, counts, classes, table = vocabulary(docs)
+    first = start(counts, classes)
     shared = spark.sparkContext.broadcast((hashes, first))
-    names = list(first)
+    frequent = len(counts) - HASHED
+    pieces = [(f"{k}:{at}", k, at) for k, x in first.items() for at in range(0, x.size, PIECE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext  # noqa: PLC0415
 
-        frequent, w0 = shared.value
-        v, w = Vocabulary(frequent), {k: x.copy() for k, x in w0.items()}
+        words, w0 = shared.value
+        v, w = Vocabulary(words, frequent), {k: x.copy() for k, x in w0.items()}
 
         def read() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for whole in batches:
@@ -258,7 +277,9 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 
         n = train(w, read())
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(w), pa.int64()), pa.array(names), pa.array([float(n)] * len(w)), pa.array([w[k].tobytes() for k in names], pa.binary())], names=["part", "name", "n", "weights"])
+            part = TaskContext.get().partitionId()
+            for name, k, at in pieces:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([float(n)]), pa.array([w[k].reshape(-1)[at : at + PIECE].tobytes()], pa.binary())], names=["part", "name", "n", "weights"])
 
     schema = "part long, name string, n double, weights binary"
 
@@ -272,28 +293,42 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     copies = scratch.materialise(docs.select("text").mapInArrow(run, schema), "trained")
     last = copies.agg(F.max("part")).first()[0]
     if last is None:
-        return hashes, first
+        return hashes, counts, first, table
     while True:
         last //= FAN_IN
         copies = copies.groupBy(F.expr(f"part div {FAN_IN}").alias("up"), "name").applyInArrow(mean, schema)
         if last == 0:
             break
         copies = scratch.materialise(copies, "averaged")
-    found = {r.name: np.frombuffer(r.weights, np.float32).reshape(first[r.name].shape) for r in copies.collect()}  # one row for each matrix
-    return hashes, found
+    found = {r.name: np.frombuffer(r.weights, np.float32) for r in copies.collect()}  # one row for each piece
+    weights = {k: np.concatenate([found[name] for name, of, _ in pieces if of == k]).reshape(x.shape) for k, x in first.items()}
+    return hashes, counts, weights, table
 
 
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, dict[str, np.ndarray]]) -> DataFrame:
+def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], DataFrame]) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum), mean_log_likelihood."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    *local, table = model
+    shared = docs.sparkSession.sparkContext.broadcast(local)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        frequent, w = shared.value
+        words, counts, w = shared.value
+        frequent = len(counts) - HASHED
         found, offsets, _ = kernel.words(kernel.strings(batch.column(1)))
-        total, n = score(w, Vocabulary(frequent).ids(found), offsets), np.diff(offsets)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select("doc_id", "text").mapInArrow(kernel.mapped(run, 1000), "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+        ids = Vocabulary(words, frequent).ids(found)
+        rare = ids >= frequent
+        at = np.append(0, np.cumsum(rare))[offsets]
+        # log(n(word) / (n(id) + 1)): the divisor here, n(word) where the word meets its count.
+        part = np.append(0, np.cumsum(np.log(counts[ids[rare]] + 1.0)))
+        total = score(w, ids, offsets) - np.diff(part[at])
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found[rare].view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(total), lists], names=["doc_id", "n_tokens", "total", "rare"])
+
+    parts = docs.select("doc_id", "text").mapInArrow(kernel.mapped(run, 1000), "doc_id long, n_tokens long, total double, rare array<long>")
+    parts = scratch.materialise(parts.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # A word counted once, or never, adds log 1.
+    known = parts.select("row", F.explode("rare").alias("word")).join(table.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    out = parts.drop("rare").join(known, "row", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,25 @@ def test_lm_odd(odd, empty):
     assert lm.score_documents(empty, lm.fit(empty)).count() == 0
 
 
+def test_lm_words_of_a_shared_id_have_probabilities_of_their_own(spark):
+    words = [f"w{i}" for i in range(2600)]
+    hashes = kernel.words([" ".join(words)])[0]
+    bucket = (hashes >> np.uint64(40)) % np.uint64(lm.HASHED)
+    mates = next(m for m in (np.flatnonzero(bucket == b) for b in range(lm.HASHED)) if len(m) > 2)
+    one, other = words[mates[0]], words[mates[1]]
+    common = [w for i, w in enumerate(words) if i not in mates[:2]]
+    rows = [(1, one, "en", "x"), (2, other, "en", "x"), (3, other, "en", "x"), (4, other, "en", "x"), (5, " ".join(common * 4), "en", "x")]
+    docs = docs_of(spark, rows)
+    model = lm.fit(docs)
+    assert not np.isin(hashes[mates[:2]], model[0]).any()
+    got = {r.doc_id: r.log_likelihood for r in lm.score_documents(docs, model).collect()}
+    assert got[2] == got[3] and got[2] - got[1] == pytest.approx(np.log(3))
+    assert lm.shape(0) == (64, 32)
+    for tokens in (10**7, 10**8, 10**10):
+        classes, width = lm.shape(tokens)
+        assert classes * width - lm.HASHED >= np.sqrt(tokens) - 1 and abs(classes - width) < 64
+
+
 # 9 --------------------------------------------------------------------------------------------
 def test_top_k_odd_and_ties(spark, odd, empty):
     q = spark.createDataFrame([(1, "one two"), (1, "one two"), (2, None), (3, ""), (None, "one"), (4, "zzz")], "item_id long, text string")
