@@ -12,11 +12,11 @@ corpus doesn't have. So every word has its own probability, and they sum to one.
 
 The corpus is gathered in two passes over all documents. Words are counted, within tasks and then
 by a shuffle, which sets the vocabulary and the output biases. Then every task trains a copy of the
-network on all of its documents, where each token is masked with probability MASK (a hash of its
-place decides) and predicted; the copies are averaged, weighted by their numbers of targets, in a
-tree of bounded fan-in, a piece of the weights at a time. What moves in either grows with the
-input, the model's size with its square root. The counts of the words that share ids are never held
-in one place: the words of the documents meet them by a shuffle.
+network on all of its documents, where every token is predicted from both sides; the copies are
+averaged, weighted by their numbers of targets, in a tree of bounded fan-in, a piece of the weights
+at a time. What moves in either grows with the input, the model's size with its square root. The
+counts of the words that share ids are never held in one place: the words of the documents meet
+them by a shuffle.
 
 Defined results
 * null or empty text, or one without a word: 0 tokens, total 0, mean null;
@@ -42,7 +42,6 @@ HASHED = 256
 CLASSES = 64
 SIDE = 2
 HIDDEN = 24
-MASK = 0.15
 RATE = 0.15
 WORDS = 1 << 14
 FAN_IN = 32
@@ -174,23 +173,14 @@ def step(w: dict[str, np.ndarray], g: dict[str, np.ndarray], around: list[np.nda
     return float(log_p.mean())
 
 
-def masked(ids: np.ndarray, offsets: np.ndarray, share: float = MASK) -> np.ndarray:
-    """Whether each token is a training target; decided by a hash of its neighbourhood and place in the document."""
-    place = np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
-    x = kernel.mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) + np.uint64(1))
-    return (x >> np.uint64(40)).astype(np.float64) / (1 << 24) < share
-
-
 def train(w: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray]], batch_targets: int = 512) -> int:
-    """Train w in place on (ids, offsets) batches; the number of targets."""
+    """Train w in place on (ids, offsets) batches, every token a target; the number of targets."""
     g = {k: np.full_like(v, 1e-3) for k, v in w.items()}
     seen = 0
     for ids, offsets in batches:
         for lo, hi in kernel.blocks(offsets, WORDS):
             part = offsets[lo : hi + 1]
-            own = ids[part[0] : part[-1]]
             seq, places = padded(ids, part, w["in"].shape[1] - 1)
-            places = places[masked(own, part)]
             for at in range(0, len(places), batch_targets):
                 some = places[at : at + batch_targets]
                 step(w, g, contexts(seq, some), seq[some])

@@ -263,6 +263,12 @@ def test_lm_odd(odd, empty):
     assert lm.score_documents(empty, lm.fit(empty)).count() == 0
 
 
+def test_lm_trains_on_every_token():
+    ids, offsets = np.arange(900, dtype=np.int32) % 40, np.array([0, 300, 300, 301, 900])
+    w = lm.start(np.bincount(ids, minlength=lm.SIZE))
+    assert lm.train(w, iter([(ids, offsets), (ids[:7], np.array([0, 7]))])) == 907
+
+
 def test_lm_words_of_a_shared_id_have_probabilities_of_their_own(spark):
     words = [f"w{i}" for i in range(2600)]
     hashes = kernel.words([" ".join(words)])[0]
