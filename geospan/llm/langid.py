@@ -3,6 +3,11 @@
 Multinomial naive Bayes over hashed character n-grams (1 to 3). Model: a matrix of
 log-probabilities, buckets x languages, broadcast; texts are scored in batches in numpy.
 
+A language is told from a bounded sample; what belongs to none is told from all labelled documents:
+under each language's model, the median score of its own documents, and that of the documents of
+the nearest other language. A document is rejected if it lies REACH of the way to the latter, or
+further; a short one, whose score varies more, by sqrt(1 + SHORT / n-grams) as far.
+
 Defined results
 * null or empty text, or text without a letter: pred_lang 'und', score null, rejected;
 * text of any length is read whole; repeated rows are scored alike, each on its own;
@@ -25,8 +30,12 @@ from . import kernel
 BUCKETS = 1 << 16
 #: The fit reads at most so many labelled rows of each language.
 TRAIN_ROWS = 600
-#: A document is rejected if its mean log-probability per n-gram is below that of every training document by so much.
-SLACK = 2.0
+REACH = 0.9
+SHORT = 50
+#: Labels nearer than this are names of one language.
+APART = 1.0
+#: Where there is no second language, its distance in log-probability per n-gram.
+ALONE = 3.0
 SMOOTHING = 0.5
 
 
@@ -51,10 +60,16 @@ def ngrams(codes: np.ndarray, table: np.ndarray, buckets: int) -> tuple[np.ndarr
 
 
 class Model:
-    """languages, weights (buckets x languages) and the floor under which a document is rejected."""
+    """languages, weights (buckets x languages), and for each language the score of its own documents and its distance from that of the nearest other one."""
+
+    def __init__(self, languages: list[str], weights: np.ndarray, own: np.ndarray | None = None, distance: np.ndarray | None = None):
+        self.languages, self.weights = languages, weights
+        self.own = np.zeros(len(languages)) if own is None else own
+        self.distance = np.full(len(languages), np.inf) if distance is None else distance
 
-    def __init__(self, languages: list[str], weights: np.ndarray, floor: float = -np.inf):
-        self.languages, self.weights, self.floor = languages, weights, floor
+    def floor(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The score under which a document of language best and n n-grams is rejected; not calibrated: -inf."""
+        return self.own[best] - REACH * np.sqrt(1 + SHORT / np.maximum(n, 1)) * self.distance[best]
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(documents x languages: summed log-probabilities without the prior, number of n-grams)."""
@@ -74,7 +89,7 @@ class Model:
         return sums, n
 
 
-def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, slack: float = SLACK) -> Model | None:
+def train(texts: list[str], langs: list[str], buckets: int = BUCKETS) -> Model | None:
     """Fit on labelled texts, with a uniform prior; None without any."""
     languages = sorted(set(langs))
     if not languages:
@@ -84,15 +99,35 @@ def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, slack: flo
         for codes, _, _ in kernel.folded([t for t, x in zip(texts, langs) if x == language]):
             for g in ngrams(codes, table, buckets)[1]:
                 counts[:, k] += np.bincount(g, minlength=buckets)
-    model = Model(languages, (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32))
-    sums, n = model.score(texts)
-    if n.any():
-        model.floor = float((sums.max(axis=1)[n > 0] / n[n > 0]).min()) - slack
-    return model
+    return Model(languages, (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32))
+
+
+def calibrated(model: Model, docs: DataFrame) -> Model:
+    """model with the medians of all labelled documents (approximate ones, as the rows aren't gathered)."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))
+
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sums, n = Model(*shared.value).score(kernel.strings(batch.column(1)))
+        some = np.flatnonzero(n)
+        rows = [pa.array(sums[some, k] / n[some]) for k in range(sums.shape[1])]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), *rows], names=["lang", *[f"s{k}" for k in range(len(rows))]])
+
+    places = range(len(model.languages))
+    known = docs.where(F.col("lang").isNotNull()).select("lang", "text")
+    scores = known.mapInArrow(kernel.mapped(score), ", ".join(["lang string", *[f"s{k} double" for k in places]]))
+    found = {r.lang: r for r in scores.groupBy("lang").agg(*[F.percentile_approx(f"s{k}", 0.5).alias(f"s{k}") for k in places]).collect()}
+    own, distance = np.zeros(len(places)), np.full(len(places), np.inf)
+    for k, language in enumerate(model.languages):
+        if language not in found:
+            continue
+        own[k] = found[language][f"s{k}"]
+        others = [own[k] - r[f"s{k}"] for x, r in found.items() if x != language]
+        distance[k] = min([x for x in others if x >= APART], default=ALONE)
+    return Model(model.languages, model.weights, own, distance)
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """Train on at most `rows` labelled documents of each language, chosen by a hash of doc_id.
+    """Train on at most `rows` labelled documents of each language, chosen by a hash of doc_id, and calibrate on all.
 
     The sample is taken from (doc_id, lang) alone; only then are its texts read, by a join with that bounded list.
     """
@@ -110,7 +145,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
         return None
     chosen = spark.createDataFrame([(int(i), x) for i, x in zip(ids.doc_id, ids.lang)], "doc_id long, label string")
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["label", "doc_id"])  # bounded: rows x languages
-    return train([t or "" for t in got.text], got.label.tolist())
+    model = train([t or "" for t in got.text], got.label.tolist())
+    return model and calibrated(model, docs)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -124,7 +160,7 @@ def annotate(docs: DataFrame, model: Model | None, out: tuple[str, ...] = ("pred
     if model is None:
         values = (F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(False))
         return docs.select("*", *[v.alias(n) for v, n in zip(values, out)])
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.floor))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.own, model.distance))
     where = docs.columns.index("text")
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -136,7 +172,7 @@ def annotate(docs: DataFrame, model: Model | None, out: tuple[str, ...] = ("pred
         top = order[:, -1] / per
         gap = (order[:, -1] - order[:, -2]) / per if len(m.languages) > 1 else np.zeros(len(n))
         names = np.array([*m.languages, "und"], object)[np.where(some, best, len(m.languages))]
-        new = [pa.array(names, pa.string()), pa.array(top, pa.float64(), mask=~some), pa.array(gap, pa.float64(), mask=~some), pa.array(~some | (top < m.floor))]
+        new = [pa.array(names, pa.string()), pa.array(top, pa.float64(), mask=~some), pa.array(gap, pa.float64(), mask=~some), pa.array(~some | (top < m.floor(best, n)))]
         return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[f"c{i}" for i in range(batch.num_columns + 4)])
 
     # Positions, not names, cross to Python: columns whose names clash can't be mixed up.

@@ -166,6 +166,24 @@ def test_language_odd(odd, empty):
     assert all(r.pred_lang is None and not r.rejected for r in langid.identify(odd, None).collect())
 
 
+def test_language_rejects_what_is_of_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = np.random.default_rng(4)
+    letters = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    texts = [letters("0123456789abcdef", 600), " ".join(letters("0123456789abcdef", 16) for _ in range(40)), " ".join(letters("abcdefghijklmnopqrstuvwxyz", 6) for _ in range(60))]
+    texts.append("Suomen kieli on yksi uralilaisista kielistä ja sitä puhutaan pääasiassa Suomessa sekä Ruotsissa että Norjassa")
+    texts.append("Wszystkie zwierzęta są równe, ale niektóre są równiejsze od innych, powiedział stary człowiek")
+    # One odd document under each label doesn't move a threshold.
+    odd = docs_of(spark, [(10**7 + i, letters("bcdfghjklmnpqrstvwxz", 400), x, "x") for i, x in enumerate(("de", "en", "es", "fr"))])
+    model = langid.fit(docs.unionAll(odd))
+    got = langid.identify(docs_of(spark, [(i, x, None, "x") for i, x in enumerate(texts)]), model).collect()
+    assert all(r.rejected for r in got)
+    kept = langid.identify(docs.where("lang is not null"), model).where("score is not null")
+    assert kept.where("rejected").count() <= 0.002 * kept.count()
+    short = langid.identify(docs_of(spark, [(i, x, None, "x") for i, x in enumerate(("the", "and the", "une", "der", "la"))]), model)
+    assert short.where("rejected").count() == 0
+
+
 # 5 --------------------------------------------------------------------------------------------
 def test_warc_round_trip_and_zip64(spark, tmp_path):
     rows = [(1, "http://a/?x=1", "<p>é</p>"), (1, "http://a/?x=1", "<p>é</p>"), (None, None, None), (2, "", ""), (3, "odd\nurl é", "x\r\n\r\ny" * 50_000)]
