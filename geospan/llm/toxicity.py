@@ -3,8 +3,9 @@
 A convolutional text classifier: every word is the sum of hashed embeddings (two hashes of
 the word, one of its first characters), filters of widths 1, 2 and 3 run over all words, the
 maximum of each filter over the whole text feeds a logistic output. Trained in numpy on a
-bounded sample of labelled documents; the threshold of each language is calibrated on
-labelled documents held out of the training.
+bounded sample of labelled documents; the threshold of each language is calibrated on all
+labelled documents outside it, with weights that give each class its share among all labelled
+documents of the language. For that, scores are counted in narrow bins, so no rows are gathered.
 
 Defined results
 * null or empty text, or one without a word: score 0, not toxic;
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -30,9 +31,12 @@ DIM = 12
 #: Filters of each width.
 FILTERS = {1: 12, 2: 8, 3: 8}
 PREFIX = 4
-#: The fit reads at most so many labelled documents of each class, calibration included.
+#: The network is trained on at most so many labelled documents of each class.
 TRAIN_ROWS = 3000
+#: This part of the labelled documents is never trained on.
 HELD_OUT = 0.3
+#: Bins to a unit of the log-odds of a score.
+BINS = 64
 EPOCHS = 6
 #: A language with fewer held-out toxic documents than this gets the threshold of all languages.
 LEAST_CALIBRATED = 15
@@ -158,15 +162,20 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7, epochs: int = EPOC
     return net
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of the highest F1; between the scores on both sides of it, and the highest of equally good ones."""
-    order = np.argsort(-p, kind="stable")
-    s, t = p[order], y[order]
-    hits = np.cumsum(t)
-    f1 = 2 * hits / (np.arange(1, len(t) + 1) + t.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1  # a tie can't be cut
+def best_cut(low: np.ndarray, high: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The threshold of the highest F1 between bins of scores from low to high with so many documents; between the scores on both sides of it, and the highest of equally good ones."""
+    order = np.argsort(-low, kind="stable")
+    low, high, toxic, clean = low[order], high[order], toxic[order], clean[order]
+    f1 = 2 * np.cumsum(toxic) / (np.cumsum(toxic + clean) + toxic.sum())
     k = int(np.argmax(f1))
-    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k] / 2)
+    return float((low[k] + high[k + 1]) / 2) if k + 1 < len(low) else float(low[k] / 2)
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """best_cut() of single documents; a tie can't be cut."""
+    s, back = np.unique(p, return_inverse=True)
+    toxic = np.bincount(back, y, len(s))
+    return best_cut(s, s, toxic, np.bincount(back, minlength=len(s)) - toxic)
 
 
 class Model:
@@ -199,26 +208,67 @@ def calibrated(texts: list[str], langs: list[str | None], toxic: np.ndarray) ->
     return Model(net, thresholds, best_threshold(p, y))
 
 
+def thresholds(seen: list[tuple[str | None, int, bool, float, float, int]]) -> tuple[dict[str, float], float]:
+    """(threshold of each language, that of all together), from rows (lang, label, whether trained on, lowest and highest score, number), one for each bin."""
+    outside = [r for r in seen if not r[2]]
+    if len({r[1] for r in outside}) < 2:
+        outside = seen
+
+    def cut(every: list, rest: list) -> float:
+        weight = [sum(r[5] for r in every if r[1] == k) / max(sum(r[5] for r in rest if r[1] == k), 1) for k in (0, 1)]
+        n = np.array([r[5] * weight[r[1]] for r in rest])
+        y = np.array([r[1] for r in rest])
+        low, high, bins = np.array([r[3] for r in rest]), np.array([r[4] for r in rest]), _bins(np.array([r[3] for r in rest]))
+        u, back = np.unique(bins, return_inverse=True)
+        lows, highs = np.full(len(u), np.inf), np.full(len(u), -np.inf)
+        np.minimum.at(lows, back, low)
+        np.maximum.at(highs, back, high)
+        return best_cut(lows, highs, np.bincount(back, n * y, len(u)), np.bincount(back, n * (1 - y), len(u)))
+
+    found = {}
+    for x in sorted({r[0] for r in outside} - {None, ""}):
+        mine = [r for r in outside if r[0] == x]
+        if all(sum(r[5] for r in mine if r[1] == k) >= LEAST_CALIBRATED for k in (0, 1)):
+            found[x] = cut([r for r in seen if r[0] == x], mine)
+    return found, cut(seen, outside)
+
+
+def _bins(p: np.ndarray) -> np.ndarray:
+    return np.floor(BINS * np.log((p + 1e-12) / (1 - p + 1e-12))).astype(np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """At most `rows` documents of each class, the first by a hash of doc_id; chosen from labels alone, so texts of others aren't moved."""
+    """Trained on at most `rows` documents of each class, the first by a hash of doc_id among those not held out; calibrated on all others.
+
+    The sample is chosen from labels alone, so texts of others aren't moved; for the calibration only scores are.
+    """
     spark = docs.sparkSession
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    counted = {r.toxic: r.n for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
+    counted = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counted) < 2:
         return None
-    u = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") > 0, min(1.0, (2.0 * rows + 50) / counted[1])).otherwise(min(1.0, (2.0 * rows + 50) / counted[0]))
-    near = known.withColumn("u", u).where(F.col("u") < share).toPandas()  # about 2 x rows of each class
-    near = near.groupby("doc_id", as_index=False).agg({"toxic": "max", "u": "first"}).sort_values(["u", "doc_id"])
-    near["toxic"] = (near.toxic > 0).astype(int)
-    ids = near.groupby("toxic").head(rows)
-    if ids.empty:
-        return None
-    chosen = spark.createDataFrame([(int(i), int(t)) for i, t in zip(ids.doc_id, ids.toxic)], "doc_id long, label int")
-    got = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id", kind="stable")
-    if got.empty:
+
+    def u(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+
+    share = F.when(F.col("label") > 0, min(1.0, (2.0 * rows + 50) / counted[1])).otherwise(min(1.0, (2.0 * rows + 50) / counted[0]))
+    near = known.withColumn("u", u("toxicity")).where((F.col("u") < share) & (u("held out") >= HELD_OUT)).toPandas()  # about 1.4 x rows of each class
+    ids = near.sort_values(["u", "doc_id"]).groupby("label").head(rows)
+    if ids.label.nunique() < 2:  # too few to hold any out
+        near = known.withColumn("u", u("toxicity")).where(F.col("u") < share).toPandas()
+        ids = near.sort_values(["u", "doc_id"]).groupby("label").head(rows)
+    chosen = spark.createDataFrame([(int(i), int(t)) for i, t in zip(ids.doc_id, ids.label)], "doc_id long, label int")
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    if got.label.nunique() < 2:
         return None
-    return calibrated([t or "" for t in got.text], [x if isinstance(x, str) else None for x in got.lang], got.label.to_numpy())
+    net = train([t or "" for t in got.text], got.label.to_numpy())
+    marked = known.join(F.broadcast(chosen.select("doc_id", F.lit(True).alias("trained"))), "doc_id", "left")
+    scored = annotate(docs.select("doc_id", "lang", "text"), Model(net, {}, np.inf), ("score", "toxic")).select("doc_id", "lang", "score")
+    p = F.col("score")
+    bins = F.floor(F.lit(BINS) * F.log((p + 1e-12) / (1 - p + 1e-12)))
+    parts = scored.join(marked, "doc_id").groupBy("lang", "label", F.coalesce("trained", F.lit(False)).alias("trained"), bins.alias("bin"))
+    seen = parts.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count(F.lit(1)).alias("n")).drop("bin").collect()
+    return Model(net, *thresholds([tuple(r) for r in seen]))
 
 
 def annotate(docs: DataFrame, model: Model | None, out: tuple[str, str] = ("score", "toxic")) -> DataFrame:

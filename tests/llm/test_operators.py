@@ -65,6 +65,26 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.classify(empty, model).count() == 0
 
 
+def test_toxicity_thresholds_at_the_natural_rate(spark):
+    """Of the toxic documents 30% and of the others 5% are of a kind that says 'maybe': at one in twenty it isn't worth it to take them, in a sample of halves it is."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(4200):
+        bad = i % 21 == 0
+        maybe = (i // 21) % 10 < 3 if bad else (i * 7 // 3) % 20 == 0
+        words = [f"w{k}" for k in rng.integers(0, 200, 12)]
+        words[int(rng.integers(0, 12))] = "maybe" if maybe else ("awful" if bad else "w1")
+        rows.append((i, " ".join(words), "fr" if i % 5 == 0 else "en", "x"))
+        labels.append((i, 1, int(bad)))
+    docs = docs_of(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rows=100)
+    assert set(model.thresholds) == {"en", "fr"}
+    maybe = F.array_contains(F.split("text", " "), "maybe")
+    got = toxicity.annotate(docs, model, ("p", "bad"))
+    assert got.where(maybe & F.col("bad")).count() <= 0.1 * docs.where(maybe).count()
+    assert got.where(F.array_contains(F.split("text", " "), "awful") & F.col("bad")).count() >= 130
+
+
 # 2 --------------------------------------------------------------------------------------------
 def test_hamming_join_finds_all_pairs():
     rng = np.random.default_rng(3)
