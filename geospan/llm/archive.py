@@ -3,8 +3,9 @@
 A package is a ZIP file that stores (without compression) WARC files under archive/ and CDXJ
 indexes under indexes/. The reader parses the end record, the ZIP64 records and the central
 directory, finds the data of stored members by their local headers, takes record offsets from
-the indexes, and range-reads just those bytes; nothing is extracted. An archive member that no
-index mentions is walked from its start. Reading is spread over tasks by archive and offset.
+the indexes, and range-reads just those bytes; nothing is extracted. What no index mentions, a
+whole member or a gap between records, is walked from its start. Reading is spread over tasks by
+archive and offset, in about equal numbers of bytes.
 
 Defined results
 * a null url or html comes back as null, an empty one as empty; texts of any length and with line ends come back whole;
@@ -40,6 +41,9 @@ PACKAGE_BYTES = 64 << 20
 GAP = 64 << 10
 SPAN = 4 << 20
 LEVEL = 3
+#: A task reads about so many bytes, more where that would make over MOST_TASKS tasks.
+TASK_BYTES = 4 << 20
+MOST_TASKS = 50_000
 
 
 class Member(NamedTuple):
@@ -143,21 +147,25 @@ def entries(uri: str) -> Iterator[Entry]:
                 if m.method:
                     raise ValueError(f"{m.name} is compressed by the ZIP and can't be range-read")
                 archives[m.name] = (data_offset(f, m), m.size, m.name.endswith(".gz"))
-        named = set()
+        ranges: dict[str, list[tuple[int, int]]] = {}
         for m in members:
             if m.name.startswith("indexes/") and m.name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
                 for x in index_lines(f, m):
                     name = x["filename"] if x["filename"] in archives else f"archive/{x['filename']}"
                     if name not in archives:
                         raise ValueError(f"{m.name} names {x['filename']}, which isn't there")
-                    named.add(name)
                     start, size, gz = archives[name]
                     offset, length = int(x["offset"]), int(x["length"])
+                    ranges.setdefault(name, []).append((offset, length))
                     if offset < 0 or offset + length > size:
                         raise ValueError(f"{m.name} points outside of {name}")
                     yield Entry(uri, start + offset, length, gz)
-        for name in archives.keys() - named:
-            yield from walked(f, uri, *archives[name])
+        for name, (start, size, gz) in archives.items():  # what no index names is walked: whole members, and gaps between indexed records
+            at = 0
+            for offset, length in [*sorted(ranges.get(name, [])), (size, 0)]:
+                if offset > at:
+                    yield from walked(f, uri, start + at, offset - at, gz)
+                at = max(at, offset + length)
 
 
 def walked(f, uri: str, start: int, size: int, gz: bool) -> Iterator[Entry]:  # noqa: ANN001
@@ -293,7 +301,7 @@ def located(packages: DataFrame) -> DataFrame:
     return packages.select("uri").mapInArrow(run, "uri string, offset long, length long, gz boolean")
 
 
-def fetched(located_: DataFrame, block: int = 8 << 20) -> DataFrame:
+def fetched(located_: DataFrame, block: int = TASK_BYTES) -> DataFrame:
     """page_id, url, status, html: each task reads the records of some blocks of some packages, neighbours by one request."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("status", pa.int32()), ("html", pa.string())])
 
@@ -326,7 +334,12 @@ def fetched(located_: DataFrame, block: int = 8 << 20) -> DataFrame:
             if f is not None:
                 f.close()
 
-    spread = located_.repartition("uri", F.expr(f"offset div {block}")).sortWithinPartitions("uri", "offset")
+    spark = located_.sparkSession
+    located_ = scratch.materialise(located_, "located")
+    total = located_.agg(F.sum("length")).first()[0] or 0
+    # An explicit number: left to itself, the engine would join these small rows, whose work is elsewhere, into one task.
+    tasks = max(1, -(-total // block))
+    spread = located_.repartition(min(tasks, max(MOST_TASKS, spark.sparkContext.defaultParallelism * 4)), "uri", F.expr(f"offset div {block}")).sortWithinPartitions("uri", "offset")
     return spread.mapInArrow(run, "page_id long, url string, status int, html string")
 
 

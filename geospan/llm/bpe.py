@@ -20,6 +20,7 @@ import base64
 import heapq
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -428,14 +429,14 @@ def _shared(spark: SparkSession, path: str):  # noqa: ANN202
     _, counts = codec.merger.run(np.frombuffer(b"".join(words), np.uint8), np.append(0, np.cumsum([len(w) for w in words])))
     # A token that merging can't reach is never proposed: it would be wrong even without a neighbour.
     trie = Trie.build({w: ranks[w] for w, n in zip(words, counts.tolist()) if n == 1})
-    return spark.sparkContext.broadcast((ranks, trie.table.keys, trie.table.values, trie.token, merges.keys, merges.values))
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, ranks, trie.table.keys, trie.table.values, trie.token, merges.keys, merges.values))
 
 
 def _local(shared) -> Codec:  # noqa: ANN001
-    key = id(shared.value)
+    key, *parts = shared.value
     if key not in _codec:
         _codec.clear()
-        ranks, keys, children, token, pairs, products = shared.value
+        ranks, keys, children, token, pairs, products = parts
         _codec[key] = Codec(ranks, Trie(Table(keys, children), token), Table(pairs, products))
     return _codec[key]
 
@@ -457,6 +458,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 tokens, offsets = codec.encode(kernel.strings(part.column(1)))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int32()), mask=pa.array(none))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets), pa.int32(), mask=none)], names=["doc_id", "tokens", "n_tokens"])
+        kernel.trimmed()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<int>, n_tokens int")
 
@@ -480,6 +482,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
                     text = pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
                 text = pa.compute.if_else(pa.array(~none), text, pa.scalar(None, pa.string())) if none.any() else text
                 yield pa.RecordBatch.from_arrays([*part.columns, text], names=["doc_id", "tokens", "n_tokens", "text"])
+        kernel.trimmed()
 
     return encoded.select("doc_id", "tokens", "n_tokens").mapInArrow(run, "doc_id long, tokens array<int>, n_tokens int, text string")
 
@@ -490,8 +493,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, tokens, n_tokens: what a trainer reads."""
-    return encode(docs)
+    """doc_id, tokens, n_tokens, and the text decoded from the tokens, which can be held against the one that came in."""
+    return decode(encode(docs))
 
 
 QUERIES = {"op6_bpe": op6_bpe}

@@ -1,12 +1,14 @@
 """Vectorised reading of texts in Arrow batches, shared by the operators of this subpackage.
 
 A word is a maximal run of letters, digits and combining marks, lower-cased. Texts of any
-length are read whole: a long one is cut into pieces at white space for the conversion to
+length are read whole: a long one is cut into pieces between words for the conversion to
 code points only, and its words or character windows are put together again by document.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -41,7 +43,17 @@ def letters(digits: bool = True) -> np.ndarray:
     return table
 
 
-@functools.lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_powers() of at least n; only those of the usual length are kept, not those of a text that can't be cut."""
+    usual = 4 * CHUNK
+    return _usual() if n <= usual else _powers(n)
+
+
+@functools.cache
+def _usual() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(4 * CHUNK)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def run(p: int) -> np.ndarray:
         out = np.full(n, p, np.uint64)
@@ -61,8 +73,12 @@ def strings(column: pa.Array) -> list[str]:
         return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
 
 
+def letter(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LMN"
+
+
 def pieces(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, str]]:
-    """(document, piece): a text longer than limit is cut at white space, never within a word."""
+    """(document, piece): a text longer than limit is cut where a character isn't of a word, never within one, so that only a single word is longer."""
     for i, t in enumerate(texts):
         if len(t) <= limit:
             yield i, t
@@ -70,7 +86,7 @@ def pieces(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, str]]:
         at = 0
         while len(t) - at > limit:
             end = at + limit
-            while end < len(t) and not t[end].isspace():
+            while end < len(t) and letter(t[end]):
                 end += 1
             yield i, t[at:end]
             at = end
@@ -112,7 +128,7 @@ def words(texts: list[str], prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np
         starts, ends = edges(table[codes])
         if not len(starts):
             continue
-        power, inverse = _powers(1 << max(CHUNK * 2, len(codes)).bit_length())
+        power, inverse = powers(len(codes) + 1)
         x = codes.astype(np.uint64)
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
@@ -153,5 +169,13 @@ def mapped(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 200
                 out = f(batch.slice(at, rows))
                 if out is not None:
                     yield out
+        trimmed()
 
     return run
+
+
+def trimmed() -> None:
+    """Give memory that a finished task has freed back to the system: workers are used again, and those that wait should be small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

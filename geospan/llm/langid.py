@@ -12,6 +12,7 @@ Defined results
 * null or empty text, or text without a letter: pred_lang 'und', score null, rejected;
 * text of any length is read whole; repeated rows are scored alike, each on its own;
 * ties between languages: the one whose code sorts first;
+* rows that repeat a doc_id: at most one of them is trained on, that with the least text, under the least of their labels;
 * null lang: never used for training, scored as any other row;
 * no labelled row at all (also an empty table): nothing can be told, so pred_lang is null and nothing is rejected;
 * extra columns of any name stay out of the way: only doc_id, text and lang are read by fit() and identify();
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import columns, kernel
 
 BUCKETS = 1 << 16
 #: The fit reads at most so many labelled rows of each language.
@@ -139,12 +140,14 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     # Bounded without a sort: keep a hash range that holds about twice the rows wanted, then the lowest of it.
     share = F.create_map(*[x for r in counted for x in (F.lit(r.lang), F.lit(min(1.0, (2.0 * rows + 50) / r.n)))])
     u = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    near = known.withColumn("u", u).where(F.col("u") < share[F.col("lang")]).toPandas()
-    ids = near.sort_values(["lang", "u", "doc_id"]).drop_duplicates("doc_id").groupby("lang").head(rows)
+    # Rows that repeat an id share its hash: they are made one before they are sent.
+    near = known.withColumn("u", u).where(F.col("u") < share[F.col("lang")]).groupBy("doc_id", "u").agg(F.min("lang").alias("lang")).toPandas()
+    ids = near.sort_values(["lang", "u", "doc_id"]).groupby("lang").head(rows)
     if ids.empty:
         return None
     chosen = spark.createDataFrame([(int(i), x) for i, x in zip(ids.doc_id, ids.lang)], "doc_id long, label string")
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["label", "doc_id"])  # bounded: rows x languages
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("label", "doc_id").agg(F.min("text").alias("text"))
+    got = texts.toPandas().sort_values(["label", "doc_id"])  # at most rows x languages
     model = train([t or "" for t in got.text], got.label.tolist())
     return model and calibrated(model, docs)
 
@@ -175,10 +178,7 @@ def annotate(docs: DataFrame, model: Model | None, out: tuple[str, ...] = ("pred
         new = [pa.array(names, pa.string()), pa.array(top, pa.float64(), mask=~some), pa.array(gap, pa.float64(), mask=~some), pa.array(~some | (top < m.floor(best, n)))]
         return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[f"c{i}" for i in range(batch.num_columns + 4)])
 
-    # Positions, not names, cross to Python: columns whose names clash can't be mixed up.
-    old = [f.dataType.simpleString() for f in docs.schema]
-    schema = ", ".join(f"c{i} {k}" for i, k in enumerate([*old, *kinds]))
-    return docs.toDF(*[f"c{i}" for i in range(len(old))]).mapInArrow(kernel.mapped(score), schema).toDF(*docs.columns, *out)
+    return columns.appended(docs, score, kinds, out)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,9 +188,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a null lang is filled with the one found."""
-    seen = annotate(docs, fit(docs), ("__pred", "__score", "__margin", "__rejected"))
-    kept = seen.where(~F.col("__rejected"))
-    return kept.select(*[F.coalesce("lang", "__pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    filled = lambda name, column, new: F.coalesce(column, new[0]) if name == "lang" else column
+    return columns.kept(docs, annotate(docs, fit(docs)), lambda new: ~new[3], filled)
 
 
 QUERIES = {"op4_language_id": op4_language_id}

@@ -20,6 +20,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import scratch
 
 SEED = 17
 #: Without explicit targets, a source's weight is its share of all characters to this power, so that large sources are damped.
@@ -27,6 +30,9 @@ ALPHA = 0.7
 #: Characters out per character in.
 EPOCHS = 1.0
 BITS = 52
+#: Sources of up to this number (some MB of rates) are broadcast; more are joined by a shuffle, in so many parts each.
+BROADCAST = 5000
+SALT = 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -50,31 +56,36 @@ def rates(docs: DataFrame, targets: Mapping[str | None, float] | None = None, al
     return weighed.crossJoin(F.broadcast(total)).select("source", "chars", rate.alias("rate"))
 
 
-def cumulative(rate: Column) -> Column:
-    """The distribution function of Poisson(rate) at 0, 1, ..., as far as it differs from 1 in a double."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    logs = F.transform(F.sequence(F.lit(0), last), lambda k: F.when(k == 0, -rate).otherwise(F.log(rate) - F.log(k.cast("double"))))
-    start = F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("p"), F.array().cast("array<double>").alias("a"))
-
-    def step(acc: Column, x: Column) -> Column:
-        p = acc.p + F.exp(acc.l + x)
-        return F.struct((acc.l + x).alias("l"), p.alias("p"), F.array_append(acc.a, p).alias("a"))
+def cumulative(rate: DataFrame) -> DataFrame:
+    """(r_source, r_cdf): the distribution function of Poisson(rate) at 0, 1, ..., as far as it differs from 1 in a double; sources of rate 0 aren't there.
 
-    return F.when(rate > 0, F.aggregate(logs, start, step, lambda acc: acc.a)).otherwise(F.array(F.lit(2.0)))
+    From (source, rate), a row for each; running sums of the logarithms of the ratios, then of the probabilities.
+    """
+    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
+    each = rate.where("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    upward = Window.partitionBy("source").orderBy("k")
+    ratio = F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.log("rate") - F.log(F.col("k").cast("double")))
+    summed = each.withColumn("l", F.sum(ratio).over(upward)).withColumn("c", F.sum(F.exp("l")).over(upward))
+    return summed.groupBy(F.col("source").alias("r_source")).agg(F.sort_array(F.collect_list("c")).alias("r_cdf"))
 
 
 def replicate(docs: DataFrame, rate: DataFrame, seed: int = SEED, parts: int | None = None) -> DataFrame:
     """docs with copy (1, 2, ...) and shuffle_key appended, in the order of shuffle_key.
 
-    rate: (source, rate), a row for each source. Sources number far fewer than documents, but their
-    table is left to the optimizer's size limit for broadcasts, not forced.
+    rate: (source, rate), a row for each source. It is counted first: up to BROADCAST sources are sent
+    to all tasks, so that the documents move once, in the last shuffle; beyond, they are joined by a
+    shuffle, with each source's row repeated SALT times, so that a large source spreads.
     """
     spark, names = docs.sparkSession, docs.columns
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     source, doc_id, text = (F.col(f"c{names.index(n)}") for n in ("source", "doc_id", "text"))
-    table = rate.select(F.col("source").alias("r_source"), cumulative(F.col("rate")).alias("r_cdf"))
-    joined = plain.join(table, source.eqNullSafe(F.col("r_source")))
+    table = scratch.materialise(cumulative(rate), "rates")
+    if table.count() <= BROADCAST:
+        joined = plain.join(F.broadcast(table), source.eqNullSafe(F.col("r_source")))
+    else:
+        salted = table.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = plain.join(salted, source.eqNullSafe(F.col("r_source")) & (F.pmod(F.xxhash64(doc_id, text), F.lit(SALT)) == F.col("r_salt"))).drop("r_salt")
     u = uniform(F.lit(seed), doc_id)
     copies = joined.withColumn("u", u).withColumn("n", F.size(F.filter("r_cdf", lambda c: c <= F.col("u")))).where("n > 0")
     each = copies.select(*plain.columns, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))

@@ -15,16 +15,19 @@ its pairs: it is searched breadth first, each signature against those not reache
 finds the bucket's components exactly; hot buckets cost little as most are reached at once.
 
 Defined results
-* a document without a word (null or empty text too) has no signature and is a group by itself;
+* a null or empty text has no signature and is a group by itself;
+* a text without a word has a signature made from a hash of all of it, so that exact copies meet;
 * fewer than three words: the run of all its words is the only one;
-* texts are read whole; repeated rows and ties: the document with the lowest doc_id stays;
-* rows with the same doc_id, or a null one, are told apart by nothing: they share a group and a decision
-  in groups(), while stage() works on rows and keeps exactly one of each group;
+* texts are read whole; of a group the row with the lowest doc_id stays, of several with that doc_id the one
+  with the lowest hash of its text; rows equal in both are marked kept in groups(), and stage() keeps one of them;
+* rows that share a doc_id but not their texts are decided on one by one; a group's id and size are those of its rows;
+* rows with a null doc_id can't be named: each is a group of its own (group_id null, group_size 1) and stays;
 * an empty table gives an empty result; extra columns aren't read, and stage() passes them through.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kernel, scratch
+from . import columns, kernel, scratch
 
 K = 48
 BITS = 16
@@ -65,7 +68,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tu
 
 
 def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(documents x K minima of BITS bits, whether the document has words)."""
+    """(documents x K minima of BITS bits, whether the document has a text). A text without words has bits of a hash of it instead."""
     hashes, offsets, _ = kernel.words(texts)
     out = np.zeros((len(texts), K), np.uint32)
     some = np.diff(offsets) > 0
@@ -83,6 +86,11 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
             out[rows, k] = np.minimum.reduceat(h, starts)
+    for i in np.flatnonzero(~some):
+        if texts[i]:
+            h = int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "replace"), digest_size=8).digest(), "big")
+            out[i] = (kernel.mix(np.uint64(h) + np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+            some[i] = True
     # The low bits of a minimum aren't uniform enough on their own: mix before cutting to b bits.
     out *= np.uint32(0x9E3779B1)
     return (out >> np.uint32(32 - BITS)).astype(np.uint16), some
@@ -141,7 +149,7 @@ def all_pairs(sig: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, sig (K places of two bytes each; null for a document without words)."""
+    """doc_id, sig (K places of two bytes each; null for one without a text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sig, some = signatures(kernel.strings(batch.column(1)))
@@ -206,18 +214,35 @@ def components(edges: DataFrame) -> DataFrame:
     return rooted.unionAll(rooted.select(F.col("root").alias("id"), "root").distinct())
 
 
+def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, text_hash, group_id, group_size, kept: groups() by row."""
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sig, some = signatures(kernel.strings(batch.column(1)))
+        raw, width = sig.astype("<u2").tobytes(), 2 * K
+        sigs = pa.array([raw[i * width : i * width + width] if s else None for i, s in enumerate(some)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sigs], names=["doc_id", "text_hash", "sig"])
+
+    rows = scratch.materialise(hashed.mapInArrow(kernel.mapped(run), "doc_id long, text_hash long, sig binary"), "signatures")
+    able = F.col("sig").isNotNull() & F.col("doc_id").isNotNull()
+    # A signature's node is a number of its own, as one doc_id may stand for several; it is fixed by being written.
+    same = rows.where(able).groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = scratch.materialise(same.withColumn("id", F.monotonically_increasing_id()), "distinct-signatures")
+    roots = components(_bucketed(nodes, radius, False))
+    named = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    whole = named.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("size"))
+    placed = named.select("sig", "root").join(whole, "root").drop("root")
+    found = rows.where(able).join(placed, "sig")
+    best = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    out = found.select("doc_id", "text_hash", F.col("best.doc_id").alias("group_id"), F.col("size").alias("group_size"), best.alias("kept"))
+    alone = rows.where(~able).select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    return out.unionAll(alone)
+
+
 def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, group_id (the lowest doc_id of the group), group_size, kept; a row for every row of docs."""
-    sigs = scratch.materialise(signed(docs), "signatures")
-    same = sigs.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
-    distinct = scratch.materialise(same, "distinct-signatures")
-    roots = components(_bucketed(distinct, radius, False))
-    # An id can stand for more than one signature where rows share a doc_id; then they are one group by definition.
-    named = distinct.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("root"))
-    found = sigs.join(named, "sig", "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
-    sizes = found.groupBy(F.col("group_id").alias("g")).agg(F.count(F.lit(1)).alias("group_size"))
-    sized = found.join(sizes, F.col("group_id").eqNullSafe(F.col("g")))
-    return sized.select("doc_id", "group_id", "group_size", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("group_id"))).alias("kept"))
+    return grouped(docs, radius).drop("text_hash")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,14 +250,21 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the lowest doc_id; of rows that repeat a kept doc_id, one. Rows with a null doc_id stay."""
-    lost = groups(docs).where("not kept").select("doc_id").distinct()
-    rest = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One row of each group, that with the lowest doc_id. Rows with a null doc_id stay."""
+    marks = scratch.materialise(grouped(docs).select("doc_id", "text_hash", "kept"), "marks")
+    plain = columns.numbered(docs)
+    names = plain.columns
+    doc_id, text_hash = F.col(f"c{docs.columns.index('doc_id')}"), F.xxhash64(f"c{docs.columns.index('text')}")
+    lost = marks.where("not kept").select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).distinct()
+    rest = plain.join(lost, (doc_id == F.col("l_id")) & (text_hash == F.col("l_hash")), "left_anti")
+    twice = marks.where("kept and doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash"))
     if twice.isEmpty():
-        return rest
-    firsts = rest.join(twice, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionAll(firsts)
+        return rest.toDF(*docs.columns)
+    same = (doc_id == F.col("l_id")) & (text_hash == F.col("l_hash"))
+    # Of equal rows any will do; if further columns differ, the one whose JSON sorts first. An aggregate, so a large set of copies is cut within tasks.
+    each = rest.join(twice, same).withColumn("whole", F.struct(*names))
+    firsts = each.groupBy("l_id", "l_hash").agg(F.min_by("whole", F.to_json("whole")).alias("whole")).select("whole.*")
+    return rest.join(twice, same, "left_anti").unionAll(firsts).toDF(*docs.columns)
 
 
 QUERIES = {"op2_near_dedup": op2_near_dedup}

@@ -8,7 +8,7 @@ moves few slots. The table is broadcast, and a document's shard is one look at s
 Defined results
 * null doc_id: hashed as the text 'null', so all such rows share a shard; repeated rows share theirs too;
 * a tie for a slot can't occur, as shards claim one after another in the order of their names;
-* texts aren't read; an empty table gives an empty result; extra columns aren't read by place() and pass through shard().
+* texts aren't read; an empty table gives an empty result; extra columns aren't read by place() and pass through write(), whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import columns
+
 #: Prime, and above 100 times the number of shards, so that shares differ by under a percent.
 SIZE = 65537
 SHARDS = tuple(f"shard-{i:04d}" for i in range(256))
@@ -67,14 +69,25 @@ def place(docs: DataFrame, shards: Sequence[str] = SHARDS, size: int = SIZE) ->
     return docs.select("doc_id").withColumn("slot", slot_of(F.col("doc_id"), size)).join(F.broadcast(table), "slot").select("doc_id", "slot", "shard")
 
 
-def write(docs: DataFrame, path: str, shards: Sequence[str] = SHARDS, size: int = SIZE) -> None:
-    """Write all columns of docs, one folder for each shard, after one shuffle by shard."""
+def write(docs: DataFrame, path: str, shards: Sequence[str] = SHARDS, size: int = SIZE, files: int = 8) -> None:
+    """Write all columns of docs, one folder for each shard and about `files` files in each, after one shuffle.
+
+    The folders are named by a column `shard`, or `_shard`, `__shard` ... where docs has such columns.
+    """
     names, new = sorted(shards), "shard"
-    while new in docs.columns:
+    while new.lower() in [c.lower() for c in docs.columns]:
         new = "_" + new
-    table = docs.sparkSession.createDataFrame([(s, names[i]) for s, i in enumerate(fill(shards, size).tolist())], f"__slot int, {new} string")
-    placed = docs.withColumn("__slot", slot_of(F.col("doc_id"), size)).join(F.broadcast(table), "__slot").drop("__slot")
-    placed.repartition(new).write.partitionBy(new).parquet(path)
+    table = docs.sparkSession.createDataFrame([(s, names[i]) for s, i in enumerate(fill(shards, size).tolist())], "slot int, shard string")
+    n = len(docs.columns)
+    placed = columns.numbered(docs).withColumn("slot", slot_of(F.col(f"c{docs.columns.index('doc_id')}"), size)).join(F.broadcast(table), "slot").drop("slot")
+    # A shard's rows go to several tasks, so that none writes a whole shard of a large corpus; rows of one id may go to different ones.
+    spread = placed.repartition("shard", F.pmod(F.xxhash64(*[f"c{i}" for i in range(n)]), F.lit(files))) if hashable(docs) else placed.repartition("shard", F.floor(F.rand(3) * files))
+    spread.select(*[f"c{i}" for i in range(n)], "shard").toDF(*docs.columns, new).write.partitionBy(new).parquet(path)
+
+
+def hashable(docs: DataFrame) -> bool:
+    """Whether Spark can hash every column; maps it can't."""
+    return not any("map<" in kind for _, kind in docs.dtypes)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +95,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_sharding": op3_sharding}
-SQL: dict[str, str] = {}
+#: The table is filled in Python, turn by turn; what each slot got is a list here, as a part of the query's parameters. The placement itself is SQL.
+SQL = {
+    "op3_sharding": f"""
+WITH shards AS (SELECT [{", ".join(str(i) for i in fill(SHARDS).tolist())}] AS slots)
+SELECT doc_id, slot, 'shard-' || lpad(slots[slot + 1]::VARCHAR, 4, '0') AS shard
+FROM (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % {SIZE})::INTEGER AS slot FROM documents), shards
+"""
+}

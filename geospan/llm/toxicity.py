@@ -6,12 +6,15 @@ maximum of each filter over the whole text feeds a logistic output. Trained in n
 bounded sample of labelled documents; the threshold of each language is calibrated on all
 labelled documents outside it, with weights that give each class its share among all labelled
 documents of the language. For that, scores are counted in narrow bins, so no rows are gathered.
+The start is random: without training the network tells nothing.
 
 Defined results
 * null or empty text, or one without a word: score 0, not toxic;
 * texts of any length are read whole; repeated rows score alike, each on its own;
 * null lang, or a language with too few labelled documents: the threshold of all languages together;
 * labels with a null doc_id or a null toxic are passed over; a document labelled twice is toxic if one label says so;
+* so few labels that none of a class is left outside the training sample: calibrated on all of them, those trained on too;
+* rows of documents that repeat a doc_id: trained on the least of their texts;
 * no labels, or labels of one class only (also empty tables): score null, nothing is toxic;
 * a tie with the threshold counts as toxic;
 * extra columns of any name stay out of the way: only doc_id, text and lang are read; annotate() appends its columns.
@@ -19,17 +22,19 @@ Defined results
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import columns, kernel
 
 BUCKETS = 1 << 17
-DIM = 12
+DIM = 20
 #: Filters of each width.
-FILTERS = {1: 12, 2: 8, 3: 8}
+FILTERS = {1: 24, 2: 12, 3: 12}
 PREFIX = 4
 #: The network is trained on at most so many labelled documents of each class.
 TRAIN_ROWS = 3000
@@ -38,6 +43,11 @@ HELD_OUT = 0.3
 #: Bins to a unit of the log-odds of a score.
 BINS = 64
 EPOCHS = 6
+BATCH = 32
+#: Part of the filters that a training step leaves out.
+DROPPED = 0.5
+#: Steps of the embeddings and of all other weights.
+TABLE_RATE, RATE = 0.3, 0.02
 #: A language with fewer held-out toxic documents than this gets the threshold of all languages.
 LEAST_CALIBRATED = 15
 WORDS = 1 << 16
@@ -108,57 +118,92 @@ class Network:
         return np.where(np.diff(offsets) > 0, p, 0.0)
 
 
+class Batch(NamedTuple):
+    """Documents of one step: rows of the table of their words, offsets, labels, weights of the loss (they sum to one), and which filters aren't dropped."""
+
+    ids: np.ndarray
+    offsets: np.ndarray
+    label: np.ndarray
+    weight: np.ndarray
+    keep: np.ndarray
+
+
+class Gradient(NamedTuple):
+    loss: float
+    rows: np.ndarray  # of the table, each once, without the padding
+    table: np.ndarray
+    kernels: np.ndarray
+    bias: np.ndarray
+    out: np.ndarray
+    out_bias: float
+
+
+def gradient(net: Network, batch: Batch) -> Gradient:
+    """The weighted cross-entropy of a batch and its derivatives: each filter passes its own to the words at which it has its maximum."""
+    top, at, padded = net.pooled(batch.ids, batch.offsets, True)
+    open_ = top + net.bias > 0
+    h = np.where(open_, top + net.bias, 0) * batch.keep
+    logit = np.clip(h @ net.out + net.out_bias, -30, 30)
+    p = 1 / (1 + np.exp(-logit))
+    loss = -float((batch.weight * np.where(batch.label > 0, np.log(p + 1e-12), np.log(1 - p + 1e-12))).sum())
+    d = ((p - batch.label) * batch.weight).astype(np.float32)
+    dh = np.where(open_, d[:, None] * net.out * batch.keep, 0).astype(np.float32)
+    kernels, rows, grads = np.zeros_like(net.kernels), [], []
+    for f, n, j, c in net.places():
+        place = at[:, f : f + n] + j
+        inside = place < len(padded)
+        where = padded[np.minimum(place, len(padded) - 1)]
+        on = inside * dh[:, f : f + n]
+        kernels[:, c : c + n] = np.einsum("bn,bnd->dn", on, net.table[where].sum(axis=2))
+        some = on != 0
+        rows.append(where[some])
+        grads.append((on[:, :, None] * net.kernels[:, c : c + n].T)[some])
+    row, grad = np.concatenate(rows), np.concatenate(grads)
+    index, value = row.ravel(), np.repeat(grad, 3, axis=0)
+    order = np.argsort(index, kind="stable")
+    first = np.flatnonzero(np.diff(index[order], prepend=-1))
+    found = index[order][first]
+    table = np.add.reduceat(value[order], first, axis=0) if len(first) else np.zeros((0, net.table.shape[1]), np.float32)
+    real = found > 0
+    return Gradient(loss, found[real], table[real], kernels, dh.sum(axis=0), h.T @ d, float(d.sum()))
+
+
+def start(seed: int = 7) -> Network:
+    """Random weights that know nothing of any word."""
+    rng = np.random.default_rng(seed)
+    filters = sum(FILTERS.values())
+    table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    table[0] = 0
+    kernels = np.concatenate([rng.normal(0, (3 * DIM * w) ** -0.5, (DIM, w * n)) for w, n in FILTERS.items()], axis=1).astype(np.float32)
+    out = (rng.random(filters) * 0.3 * np.where(np.arange(filters) % 2, 1, -1)).astype(np.float32)
+    return Network(table, kernels, np.zeros(filters, np.float32), out, 0.0)
+
+
 def train(texts: list[str], toxic: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Network:
-    """Adagrad over batches; the first dimension of the table starts from the smoothed log-odds of each bucket's document frequency."""
+    """Adagrad from a random start, with dropout over filters; both classes weigh the same in the loss, whatever their numbers."""
     rng = np.random.default_rng(seed)
     ids, offsets = read(texts)
     y = np.asarray(toxic, np.float32)
-    doc = np.repeat(np.arange(len(y)), np.diff(offsets))
-    seen = np.unique(np.repeat(doc, 3) * BUCKETS + ids.ravel())
-    pos = np.bincount(seen % BUCKETS, y[seen // BUCKETS], BUCKETS)
-    neg = np.bincount(seen % BUCKETS, 1 - y[seen // BUCKETS], BUCKETS)
-    odds = np.log((pos + 0.5) / (neg + 0.5)) - np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    table = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
-    table[:, 0] = np.where(pos + neg > 0, np.clip(odds, -4, 4) / 4, -0.25)
-    table[0] = 0
-    columns = sum(w * n for w, n in FILTERS.items())
-    kernels = rng.normal(0, 0.1, (DIM, columns)).astype(np.float32)
-    kernels[0] += 0.5 / np.concatenate([np.full(w * n, w) for w, n in FILTERS.items()])
-    net = Network(table, kernels, np.full(sum(FILTERS.values()), -0.5, np.float32), np.full(sum(FILTERS.values()), 0.1, np.float32), -1.0)
-    g_table, g_kernels, g_bias, g_out, g_out_bias = np.full(BUCKETS, 1e-2, np.float32), np.full_like(kernels, 1e-2), np.full_like(net.bias, 1e-2), np.full_like(net.out, 1e-2), 1e-2
+    net = start(seed)
+    weight = np.where(y > 0, (len(y) - y.sum()) / max(y.sum(), 1), 1.0)
+    seen = {"table": np.full(BUCKETS, 1e-4, np.float32), "kernels": np.full_like(net.kernels, 1e-4), "bias": np.full_like(net.bias, 1e-4), "out": np.full_like(net.out, 1e-4)}
+    seen_bias = 1e-4
     for _ in range(epochs):
         order = rng.permutation(len(y))
-        for lo in range(0, len(order), 64):
-            batch = order[lo : lo + 64]
-            lengths = offsets[batch + 1] - offsets[batch]
-            top, at, padded = net.pooled(ids[kernel.ranges(offsets[batch], lengths)], np.append(0, np.cumsum(lengths)), True)
-            h = np.maximum(top + net.bias, 0)
-            p = 1 / (1 + np.exp(-np.clip(h @ net.out + net.out_bias, -40, 40)))
-            d = ((p - y[batch]) / len(batch)).astype(np.float32)
-            dh = np.where(h > 0, d[:, None] * net.out, 0)
-            d_out, d_bias, d_kernels = h.T @ d, dh.sum(axis=0), np.zeros_like(kernels)
-            rows, grads = [], []
-            for f, n, j, c in net.places():
-                where = np.minimum(at[:, f : f + n] + j, len(padded) - 1)
-                on = (at[:, f : f + n] + j < len(padded)) * dh[:, f : f + n]
-                x = net.table[padded[where]].sum(axis=2)
-                d_kernels[:, c : c + n] = np.einsum("bn,bnd->dn", on, x)
-                g = on[:, :, None] * net.kernels[:, c : c + n].T
-                rows.append(padded[where].reshape(-1, 3))
-                grads.append(g.reshape(-1, DIM))
-            r, g = np.concatenate(rows), np.concatenate(grads)
-            for k in range(3):
-                u, back = np.unique(r[:, k], return_inverse=True)
-                step = np.zeros((len(u), DIM), np.float32)
-                np.add.at(step, back, g)
-                step[u == 0] = 0
-                g_table[u] += (step**2).mean(axis=1) * 100
-                net.table[u] -= 0.1 * step / np.sqrt(g_table[u])[:, None]
-            for value, grad, acc in ((net.kernels, d_kernels, g_kernels), (net.bias, d_bias, g_bias), (net.out, d_out, g_out)):
-                acc += grad**2
-                value -= 0.05 * grad / np.sqrt(acc)
-            g_out_bias += float(d.sum()) ** 2
-            net.out_bias -= 0.05 * float(d.sum()) / g_out_bias**0.5
+        for lo in range(0, len(order), BATCH):
+            some = order[lo : lo + BATCH]
+            lengths = offsets[some + 1] - offsets[some]
+            keep = (rng.random((len(some), len(net.out))) >= DROPPED) / np.float32(1 - DROPPED)
+            g = gradient(net, Batch(ids[kernel.ranges(offsets[some], lengths)], np.append(0, np.cumsum(lengths)), y[some], weight[some] / len(some), keep.astype(np.float32)))
+            seen["table"][g.rows] += (g.table**2).sum(axis=1)
+            net.table[g.rows] -= TABLE_RATE * g.table / np.sqrt(seen["table"][g.rows])[:, None]
+            for name in ("kernels", "bias", "out"):
+                grad = getattr(g, name)
+                seen[name] += grad**2
+                value = getattr(net, name)
+                value -= RATE * grad / np.sqrt(seen[name])
+            seen_bias += g.out_bias**2
+            net.out_bias -= RATE * g.out_bias / seen_bias**0.5
     return net
 
 
@@ -186,32 +231,10 @@ class Model:
         return np.array([self.thresholds.get(x, self.default) for x in langs])
 
 
-def calibrated(texts: list[str], langs: list[str | None], toxic: np.ndarray) -> Model | None:
-    """Train on a part, calibrate on the rest; None unless both classes are there."""
-    toxic = np.asarray(toxic, np.int64)
-    if not 0 < toxic.sum() < len(toxic):
-        return None
-    rng = np.random.default_rng(11)
-    held = rng.random(len(toxic)) < HELD_OUT
-    if len(set(toxic[held])) < 2 or len(set(toxic[~held])) < 2:
-        held = np.zeros(len(toxic), bool)
-    use = ~held
-    net = train([t for t, u in zip(texts, use) if u], toxic[use])
-    rest = held if held.any() else use
-    p, y = net.score([t for t, u in zip(texts, rest) if u]), toxic[rest]
-    by = np.array([x or "" for x, u in zip(langs, rest) if u], object)
-    thresholds = {}
-    for x in sorted(set(by) - {""}):
-        mine = by == x
-        if y[mine].sum() >= LEAST_CALIBRATED and (1 - y[mine]).sum() >= LEAST_CALIBRATED:
-            thresholds[x] = best_threshold(p[mine], y[mine])
-    return Model(net, thresholds, best_threshold(p, y))
-
-
 def thresholds(seen: list[tuple[str | None, int, bool, float, float, int]]) -> tuple[dict[str, float], float]:
     """(threshold of each language, that of all together), from rows (lang, label, whether trained on, lowest and highest score, number), one for each bin."""
     outside = [r for r in seen if not r[2]]
-    if len({r[1] for r in outside}) < 2:
+    if len({r[1] for r in outside}) < 2:  # hardly any labels at all
         outside = seen
 
     def cut(every: list, rest: list) -> float:
@@ -258,7 +281,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
         near = known.withColumn("u", u("toxicity")).where(F.col("u") < share).toPandas()
         ids = near.sort_values(["u", "doc_id"]).groupby("label").head(rows)
     chosen = spark.createDataFrame([(int(i), int(t)) for i, t in zip(ids.doc_id, ids.label)], "doc_id long, label int")
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    # Rows that repeat an id are cut to one before they are sent, so at most 2 x rows texts come.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    got = texts.toPandas().sort_values("doc_id")
     if got.label.nunique() < 2:
         return None
     net = train([t or "" for t in got.text], got.label.to_numpy())
@@ -286,9 +311,7 @@ def annotate(docs: DataFrame, model: Model | None, out: tuple[str, str] = ("scor
         bad = (p >= m.threshold(batch.column(lang).to_pylist())) & (p > 0)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(bad)], names=[f"c{i}" for i in range(batch.num_columns + 2)])
 
-    old = [f.dataType.simpleString() for f in docs.schema]
-    schema = ", ".join(f"c{i} {k}" for i, k in enumerate([*old, "double", "boolean"]))
-    return docs.toDF(*[f"c{i}" for i in range(len(old))]).mapInArrow(kernel.mapped(score), schema).toDF(*docs.columns, *out)
+    return columns.appended(docs, score, ("double", "boolean"), out)
 
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -303,8 +326,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic. Trained on the labelled ones among those given."""
-    seen = annotate(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ("__score", "__toxic"))
-    return seen.where(~F.col("__toxic")).drop("__score", "__toxic")
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return columns.kept(docs, annotate(docs, model), lambda new: ~new[1])
 
 
 QUERIES = {"op1_toxicity": op1_toxicity}
