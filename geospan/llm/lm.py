@@ -10,13 +10,15 @@ Tokens are words. The most frequent of the corpus, about the square root of its
 part of the shared id: n(word) / (n(id) + 1). What is left, 1 / (n(id) + 1), is that of a word the
 corpus doesn't have. So every word has its own probability, and they sum to one.
 
-The corpus is gathered in two passes over all documents. Words are counted, within tasks and then
-by a shuffle, which sets the vocabulary and the output biases. Then every task trains a copy of the
-network on all of its documents, where every token is predicted from both sides; the copies are
-averaged, weighted by their numbers of targets, in a tree of bounded fan-in, a piece of the weights
-at a time. What moves in either grows with the input, the model's size with its square root. The
-counts of the words that share ids are never held in one place: the words of the documents meet
-them by a shuffle.
+The corpus is gathered in passes over all documents. Words are counted, within tasks and then by a
+shuffle, which sets the vocabulary and the output biases; texts are then turned into ids once. The
+network is trained in ROUNDS rounds, on a share of the documents each, so that every token is a
+target once. In a round the documents are spread over shards of about TOKENS_PER_ID tokens for each id of the model; each
+shard trains a copy from where the last round ended, and the copies are averaged, a row of weights
+by how often each copy trained it, in a tree of bounded fan-in. Rounds, shards and the order in them
+come from hashes of the rows, so scores don't hang on tasks or files. What moves in the passes grows
+with the input, the model's size with its square root. The counts of the words that share ids are
+never held in one place: the words of the documents meet them by a shuffle.
 
 Defined results
 * null or empty text, or one without a word: 0 tokens, total 0, mean null;
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +46,18 @@ CLASSES = 64
 SIDE = 2
 HIDDEN = 24
 RATE = 0.15
+#: Sums of squared gradients that Adagrad begins with.
+FIRST = 1.0
+BATCH = 4096
 WORDS = 1 << 14
 FAN_IN = 32
 #: Distinct words that a task holds before it passes on what it has counted.
 HELD = 400_000
 #: Weights that are averaged at once.
-PIECE = 1 << 19
+PIECE = 1 << 17
+ROUNDS = 3
+#: Tokens of a shard's part of a round, for each id of the model: so copies of the model stay small beside the texts at any size.
+TOKENS_PER_ID = 100
 #: The number of ids of the smallest model.
 SIZE = FREQUENT + HASHED
 
@@ -141,15 +150,13 @@ def _add_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def step(w: dict[str, np.ndarray], g: dict[str, np.ndarray], around: list[np.ndarray], target: np.ndarray, rate: float = RATE) -> float:
-    """One Adagrad step on a batch, in place; the mean log-probability before it."""
+    """One Adagrad step on a batch, in place; the mean log-probability before it. Gradients are summed, so that a rare token's step doesn't depend on the batch's size."""
     log_p, h, a, order, bounds, b = forward(w, around, target)
     n = len(target)
     c, t = np.divmod(target, w["token_bias"].shape[1])
     i = np.arange(n)
     a[i, c] -= 1
     b[i, t[order]] -= 1
-    a /= n
-    b /= n
     dh = a @ w["class"].T
     grads = {"class": h.T @ a, "class_bias": a.sum(axis=0)}
     hs, ds = h[order], np.empty_like(h)
@@ -173,9 +180,9 @@ def step(w: dict[str, np.ndarray], g: dict[str, np.ndarray], around: list[np.nda
     return float(log_p.mean())
 
 
-def train(w: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray]], batch_targets: int = 512) -> int:
+def train(w: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray]], batch_targets: int = BATCH, touched: Touched | None = None) -> int:
     """Train w in place on (ids, offsets) batches, every token a target; the number of targets."""
-    g = {k: np.full_like(v, 1e-3) for k, v in w.items()}
+    g = {k: np.full_like(v, FIRST) for k, v in w.items()}
     seen = 0
     for ids, offsets in batches:
         for lo, hi in kernel.blocks(offsets, WORDS):
@@ -183,8 +190,11 @@ def train(w: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarr
             seq, places = padded(ids, part, w["in"].shape[1] - 1)
             for at in range(0, len(places), batch_targets):
                 some = places[at : at + batch_targets]
-                step(w, g, contexts(seq, some), seq[some])
+                around, target = contexts(seq, some), seq[some]
+                step(w, g, around, target)
                 seen += len(some)
+                if touched is not None:
+                    touched.add(around, target)
     return seen
 
 
@@ -244,86 +254,176 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, DataFrame]
     return hashes, counts, classes, table
 
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], DataFrame]:
-    """(frequent words, counts of the ids, weights, counts of all words), from all documents."""
-    spark = docs.sparkSession
-    hashes, counts, classes, table = vocabulary(docs)
-    first = start(counts, classes)
-    shared = spark.sparkContext.broadcast((hashes, first))
-    frequent = len(counts) - HASHED
-    pieces = [(f"{k}:{at}", k, at) for k, x in first.items() for at in range(0, x.size, PIECE)]
+def encoded(docs: DataFrame, words: np.ndarray, frequent: int) -> DataFrame:
+    """doc_id, ids (of all words), rare (hashes of the words that share ids), and for the training shard_hash, round, place: all by hashes of the row."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("place"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext  # noqa: PLC0415
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, offsets, _ = kernel.words(kernel.strings(batch.column(1)))
+        ids = Vocabulary(shared.value, frequent).ids(found)
+        rare = ids >= frequent
+        own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+        others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rare))[offsets], pa.int32()), pa.array(found[rare].view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), own, others], names=["doc_id", "place", "ids", "rare"])
 
-        words, w0 = shared.value
-        v, w = Vocabulary(words, frequent), {k: x.copy() for k, x in w0.items()}
+    out = rows.mapInArrow(kernel.mapped(run, 1000), "doc_id long, place long, ids array<int>, rare array<long>")
+    return scratch.materialise(out.withColumn("round", F.pmod(F.xxhash64(F.lit("round"), "place"), F.lit(ROUNDS)).cast("int")), "encoded")
 
-        def read() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    found, offsets, _ = kernel.words(kernel.strings(whole.column(0).slice(at, 1000)))
-                    yield v.ids(found), offsets
 
-        n = train(w, read())
-        if n:
-            part = TaskContext.get().partitionId()
-            for name, k, at in pieces:
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([float(n)]), pa.array([w[k].reshape(-1)[at : at + PIECE].tobytes()], pa.binary())], names=["part", "name", "n", "weights"])
+def matrices(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights as matrices whose rows are trained together: a context token at one place, a class, or all of a layer."""
+    return {"in": w["in"].reshape(-1, HIDDEN), "token": w["token"].reshape(len(w["token"]), -1), "token_bias": w["token_bias"]} | {k: w[k].reshape(1, -1) for k in ("in_bias", "class", "class_bias")}
+
+
+def pieces(w: dict[str, np.ndarray]) -> list[tuple[str, str, int, int]]:
+    """(name, matrix, first row, last row + 1), of about PIECE weights each."""
+    out = []
+    for k, x in matrices(w).items():
+        n = max(1, PIECE // x.shape[1])
+        out += [(f"{k}:{at}", k, at, min(at + n, len(x))) for at in range(0, len(x), n)]
+    return out
+
+
+class Touched:
+    """How often each row of the matrices was trained."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.n = {k: np.zeros(len(x)) for k, x in matrices(w).items()}
+        self.size, self.width = w["in"].shape[1], w["token_bias"].shape[1]
+
+    def add(self, around: list[np.ndarray], target: np.ndarray) -> None:
+        for k, ids in enumerate(around):
+            self.n["in"][k * self.size : (k + 1) * self.size] += np.bincount(ids, minlength=self.size)
+        classes = np.bincount(target // self.width, minlength=len(self.n["token"]))
+        self.n["token"] += classes
+        self.n["token_bias"] += classes
+        for k in ("in_bias", "class", "class_bias"):
+            self.n[k] += len(target)
+
+
+_PARTS = "shard int, name string, n binary, weights binary"
+
+
+def merged(table: pa.Table) -> tuple[bytes, bytes]:
+    """(n, weights) of a piece: each row the mean of the copies', weighted by how often they trained it, so that a rare token's row isn't diluted by copies that never met it."""
+    total = most = None
+    for n, x in zip(table.column("n"), table.column("weights")):
+        n = np.frombuffer(n.as_buffer(), np.float64)
+        x = np.frombuffer(x.as_buffer(), np.float32).reshape(len(n), -1).astype(np.float64)
+        total, most = (x * n[:, None], n.copy()) if total is None else (total + x * n[:, None], most + n)
+    return most.tobytes(), (total / np.maximum(most, 1)[:, None]).astype(np.float32).tobytes()
+
 
-    schema = "part long, name string, n double, weights binary"
+def averaged(copies: DataFrame, shards: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(n, weights) by piece, over all shards, in a tree of bounded fan-in."""
 
     def mean(key: tuple, table: pa.Table) -> pa.Table:
-        ns = np.array(table.column("n"))
-        total = np.zeros(len(table.column("weights")[0].as_py()) // 4)
-        for n, x in zip(ns, table.column("weights")):
-            total += n * np.frombuffer(x.as_buffer(), np.float32)
-        return pa.table({"part": [key[0].as_py()], "name": [key[1].as_py()], "n": [float(ns.sum())], "weights": pa.array([(total / ns.sum()).astype(np.float32).tobytes()], pa.binary())})
-
-    copies = scratch.materialise(docs.select("text").mapInArrow(run, schema), "trained")
-    last = copies.agg(F.max("part")).first()[0]
-    if last is None:
-        return hashes, counts, first, table
+        n, weights = merged(table.sort_by("shard"))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "name": [key[1].as_py()], "n": pa.array([n], pa.binary()), "weights": pa.array([weights], pa.binary())})
+
     while True:
-        last //= FAN_IN
-        copies = copies.groupBy(F.expr(f"part div {FAN_IN}").alias("up"), "name").applyInArrow(mean, schema)
-        if last == 0:
-            break
+        copies = copies.groupBy(F.expr(f"cast(shard div {FAN_IN} as int)").alias("up"), "name").applyInArrow(mean, _PARTS)
+        shards = -(-shards // FAN_IN)
+        if shards <= 1:
+            return {r.name: (np.frombuffer(r.n, np.float64), np.frombuffer(r.weights, np.float32)) for r in copies.collect()}  # one row for each piece
         copies = scratch.materialise(copies, "averaged")
-    found = {r.name: np.frombuffer(r.weights, np.float32) for r in copies.collect()}  # one row for each piece
-    weights = {k: np.concatenate([found[name] for name, of, _ in pieces if of == k]).reshape(x.shape) for k, x in first.items()}
-    return hashes, counts, weights, table
 
 
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], DataFrame]) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum), mean_log_likelihood."""
-    *local, table = model
-    shared = docs.sparkSession.sparkContext.broadcast(local)
+def a_round(texts: DataFrame, w0: dict[str, np.ndarray], shards: int) -> dict[str, np.ndarray]:
+    """The mean of the weights that each shard gets to from w0 on its own documents (place, ids).
+
+    A shard and the order in it are decided by the rows alone, so neither the number of tasks nor the
+    layout of the files changes what is learnt.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(w0)
+    names = pieces(w0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = {k: x.copy() for k, x in shared.value.items()}
+        touched, shard = Touched(w), None
+
+        def read() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            nonlocal shard
+            for batch in batches:
+                shard = batch.column(0)[0].as_py() if batch.num_rows else shard
+                lists = batch.column(1)
+                yield lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+
+        train(w, read(), touched=touched)
+        if shard is not None:
+            whole = matrices(w)
+            for name, k, lo, hi in names:
+                n = touched.n[k][lo:hi]
+                if n.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([n.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(whole[k][lo:hi]).tobytes()], pa.binary())], names=["shard", "name", "n", "weights"])
+        kernel.trimmed()
+
+    spread = texts.select(F.pmod(F.xxhash64(F.lit("shard"), "place"), F.lit(shards)).cast("int").alias("shard"), "ids", "place")
+    spread = spread.repartitionById(shards, "shard").sortWithinPartitions("place").select("shard", "ids")
+    found = averaged(scratch.materialise(spread.mapInArrow(run, _PARTS), "trained"), shards)
+    out = {k: x.copy() for k, x in w0.items()}
+    whole = matrices(out)  # views of out
+    for name, k, lo, hi in names:
+        if name in found:
+            n, x = found[name]
+            some = n > 0
+            whole[k][lo:hi][some] = x.reshape(len(n), -1)[some]
+    return out
+
+
+class Model(NamedTuple):
+    words: np.ndarray  # frequent ones
+    counts: np.ndarray  # of the ids
+    weights: dict[str, np.ndarray]
+    table: DataFrame  # counts of all words
+    texts: DataFrame  # the corpus in ids
+
+
+def fit(docs: DataFrame) -> Model:
+    """From all documents; every token is a target once, in one of ROUNDS rounds."""
+    hashes, counts, classes, table = vocabulary(docs)
+    w = start(counts, classes)
+    texts = encoded(docs, hashes, len(counts) - HASHED)
+    shards = -(-int(counts.sum()) // (TOKENS_PER_ID * len(counts) * ROUNDS))
+    if shards:
+        for k in range(ROUNDS):
+            w = a_round(texts.where((F.col("round") == k) & (F.size("ids") > 0)), w, shards)
+    return Model(hashes, counts, w, table, texts)
+
+
+def score_texts(model: Model) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (sum), mean_log_likelihood of the documents that the model was made from."""
+    texts = model.texts
+    shared = texts.sparkSession.sparkContext.broadcast((model.counts, model.weights))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, counts, w = shared.value
+        counts, w = shared.value
         frequent = len(counts) - HASHED
-        found, offsets, _ = kernel.words(kernel.strings(batch.column(1)))
-        ids = Vocabulary(words, frequent).ids(found)
+        lists = batch.column(1)
+        ids, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
         rare = ids >= frequent
         at = np.append(0, np.cumsum(rare))[offsets]
         # log(n(word) / (n(id) + 1)): the divisor here, n(word) where the word meets its count.
         part = np.append(0, np.cumsum(np.log(counts[ids[rare]] + 1.0)))
         total = score(w, ids, offsets) - np.diff(part[at])
-        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found[rare].view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(total), lists], names=["doc_id", "n_tokens", "total", "rare"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(total), batch.column(2)], names=["doc_id", "n_tokens", "total", "rare"])
 
-    parts = docs.select("doc_id", "text").mapInArrow(kernel.mapped(run, 1000), "doc_id long, n_tokens long, total double, rare array<long>")
+    parts = texts.select("doc_id", "ids", "rare").mapInArrow(kernel.mapped(run, 1000), "doc_id long, n_tokens long, total double, rare array<long>")
     parts = scratch.materialise(parts.withColumn("row", F.monotonically_increasing_id()), "scored")
     # A word counted once, or never, adds log 1.
-    known = parts.select("row", F.explode("rare").alias("word")).join(table.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    known = parts.select("row", F.explode("rare").alias("word")).join(model.table.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
     out = parts.drop("rare").join(known, "row", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("more", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """score_texts() of any documents, with a model made from others."""
+    return score_texts(model._replace(texts=encoded(docs, model.words, len(model.counts) - HASHED)))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_documents(docs, fit(docs))
+    return score_texts(fit(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 QUERIES = {"op8_lm_score": op8_lm_score}

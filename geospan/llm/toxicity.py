@@ -99,11 +99,12 @@ class Network:
         z = np.zeros((len(x), sum(FILTERS.values())), np.float32)
         for f, n, j, c in self.places():
             z[: len(x) - j, f : f + n] += y[j:, c : c + n]
-        top = np.maximum.reduceat(z, at, axis=0)
+        # Windows begin at a document's own words: one that begins in the padding would reach into the next document.
+        top = np.maximum.reduceat(np.concatenate([z, z[:1]]), np.stack([at, at + lengths], axis=1).ravel(), axis=0)[::2]
+        top[lengths == 0] = -np.inf
         if not want_places:
             return top, None, padded
-        ends = np.append(at[1:], len(x))
-        return top, np.stack([a + z[a:b].argmax(axis=0) for a, b in zip(at, ends)]), padded
+        return top, np.stack([a + z[a : a + max(n, 1)].argmax(axis=0) for a, n in zip(at, lengths)]), padded
 
     def logits(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.empty(len(offsets) - 1)
@@ -142,7 +143,7 @@ def gradient(net: Network, batch: Batch) -> Gradient:
     """The weighted cross-entropy of a batch and its derivatives: each filter passes its own to the words at which it has its maximum."""
     top, at, padded = net.pooled(batch.ids, batch.offsets, True)
     open_ = top + net.bias > 0
-    h = np.where(open_, top + net.bias, 0) * batch.keep
+    h = np.where(open_, top + net.bias, 0).astype(np.float32) * batch.keep
     logit = np.clip(h @ net.out + net.out_bias, -30, 30)
     p = 1 / (1 + np.exp(-logit))
     loss = -float((batch.weight * np.where(batch.label > 0, np.log(p + 1e-12), np.log(1 - p + 1e-12))).sum())
