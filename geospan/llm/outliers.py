@@ -112,6 +112,7 @@ def with_statistics(rows: DataFrame) -> DataFrame:
         share(F.col("upper"), F.col("letters"), "u_upper"), share(F.col("symbols"), chars, "u_symbols"), share(F.col("spaces"), chars, "u_spaces"),
         F.log((F.col("distinct") + DRAWN_WORDS) / (F.col("words") + DRAWN_WORDS)),
     )
+    usual = scratch.materialise(usual, "usual")  # so that its size is known, and the rows aren't shuffled by language to meet it
     return rows.join(usual, F.col("lang").eqNullSafe(F.col("u_lang"))).select(*rows.columns, *[v.alias(f"s{k}") for k, v in enumerate(values)])
 
 
@@ -273,7 +274,9 @@ def estimated(feeding: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     values = [f"s{k}" for k in range(P)]
     for _ in range(STEPS):
         placed = feeding.select("key", *values).join(now.select("key", "start", "mean", "inverse"), "key").withColumn("bin", bins(squared())).drop("inverse")
-        inside = placed.join(quantile(placed, ["key", "start"], F.col("bin"), coverage), ["key", "start"]).where("bin <= cut")
+        # Written, so that its size is known: the rows needn't be shuffled by their groups, of which one may hold a third of them.
+        cut = scratch.materialise(quantile(placed, ["key", "start"], F.col("bin"), coverage), "cut")
+        inside = placed.join(cut, ["key", "start"]).where("bin <= cut")
         # Moments about the former mean: no digits are lost to a large common offset.
         d = [F.col(f"s{i}") - F.col("mean")[i] for i in range(P)]
         sums = inside.groupBy("key", "start").agg(*[F.avg(d[i]).alias(f"a{i}") for i in range(P)], *[F.avg(d[i] * d[j]).alias(f"b{i}_{j}") for i, j in _TRIANGLE])
@@ -309,7 +312,7 @@ def judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     rows = scratch.materialise(measured(docs), "counts")
     name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
     own, lang, every = name("lang", "source"), name("lang"), F.lit("*")
-    able = scratch.materialise(with_statistics(rows.where("words > 0")).select(own.alias("key"), lang.alias("lang_key"), *[f"s{k}" for k in range(P)]), "statistics")
+    able = scratch.materialise(with_statistics(rows.where("words > 0")).select("doc_id", "lang", "source", "words", own.alias("key"), lang.alias("lang_key"), *[f"s{k}" for k in range(P)]), "statistics")
     values = [f"s{k}" for k in range(P)]
     levels = F.array(F.struct(F.col("key"), F.col("lang_key").alias("parent")), F.struct(F.col("lang_key").alias("key"), every.alias("parent")), F.struct(every.alias("key"), F.lit(None).cast("string").alias("parent")))
     feeding = able.select(F.explode(levels).alias("k"), *values).select("k.*", *values)
@@ -324,7 +327,7 @@ def judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     above = middle.select(F.col("key").alias("parent"), F.col("middle").alias("p_middle"))
     scale = middle.where("parent <> '*'").join(above, "parent").select("key", ((F.col("n") * F.col("middle") + PRIOR * F.col("p_middle")) / (F.col("n") + PRIOR)).alias("middle"))
     model = scratch.materialise(leant.join(scale, "key").select("key", "mean", "inverse", "middle"), "mcd-scaled")
-    some = with_statistics(rows.where("words > 0")).withColumn("key", own).join(model, "key")
+    some = able.join(model, "key")
     distance = squared() * chi_square(0.5) / F.greatest(F.col("middle"), F.lit(1e-9))
     out = some.select("doc_id", "lang", "source", F.col("words").alias("n_words"), distance.alias("distance2"), (distance > cutoff(tail)).alias("rejected"))
     none = rows.where("words = 0").select("doc_id", "lang", "source", F.col("words").alias("n_words"), F.lit(None).cast("double").alias("distance2"), F.lit(True).alias("rejected"))
