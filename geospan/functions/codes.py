@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 SPOKEN = {"en": ["US", "GB"], "de": ["DE", "AT"], "fr": ["FR", "CA"], "es": ["ES", "MX"], "pt": ["PT", "BR"], "zh": ["CN", "TW"], "ja": ["JP"], "ko": ["KR"], "ar": ["SA", "EG"]}
 LANGUAGES = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "pt": "Portuguese", "zh": "Chinese", "ja": "Japanese", "ko": "Korean", "ar": "Arabic"}
 FIPS = {"GM": "DE", "SP": "ES", "UK": "GB", "CH": "CN", "JA": "JP", "KS": "KR", "SA": "SA", "AU": "AT", "EI": "IE", "SW": "SE"}
-#: Weight of a feature by the longest prefix of class/code that is listed.
-FEATURE_WEIGHT = {"A/PCLI": 20, "A/PCL": 18, "A/ADM1": 13, "A": 8, "P/PPLC": 16, "P/PPLA": 12, "P/PPL": 9, "P": 8, "H": 2, "R": 2, "S": 4, "T": 3, "U": 1, "V": 2, "L": 4}
-SITE_CODES = ("HSP", "SCH", "UNIV", "MSQE", "CH", "AIRP", "MUS", "BLDG", "HTL", "PRN")
+#: Weight of a feature by the longest prefix of class/code that is listed, of six, five or one characters.
+FEATURE_WEIGHT = dict.fromkeys(("A/ADM1", "A/PCL"), 16) | {"A/ADM2": 13, "A": 11, "P/PPLC": 15, "P/PPLG": 9} | dict.fromkeys(("P", "P/PPL", "P/PPLA"), 10)
+FEATURE_WEIGHT |= dict.fromkeys(("P/PPLH", "P/PPLL", "S"), 8) | dict.fromkeys(("P/PPLQ", "P/PPLX", "H", "V"), 7) | dict.fromkeys(("L", "R", "T/ISL", "T/ISLS"), 6) | dict.fromkeys(("U", "T"), 5) | dict.fromkeys(("H/RSV", "H/WLL", "H/SPNG"), 2)
+#: Sites that are organisations too: hospitals, buildings, schools, places of worship.
+SITE_CODES = tuple("BLDA BLDG BLDO CH HSP HSPC MSQE MSSN SCH SCHC SCHT SHRN TMPL UNIV".split())
 
 
 def _lookup(table: dict, key: Column) -> Column:

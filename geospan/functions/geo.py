@@ -52,7 +52,7 @@ def is_zero(lat: Column, lon: Column) -> Column:
 
 
 def format_latlon(lat: Column, lon: Column) -> Column:
-    return F.concat(F.format_number(lat, "0.00000"), F.lit(","), F.format_number(lon, "0.00000"))
+    return F.format_string("%.5f,%.5f", lat, lon)
 
 
 def parse_latlon(text: Column) -> Column:

@@ -15,9 +15,10 @@ GENERAL = (("Mount ", "Mt. "), ("Fort ", "Ft. "), ("North ", "N. "), ("South ",
 SAINTS = (("Saint ", "St. "), ("Sainte ", "Ste. "), ("Santa ", "Sta. "), ("Santo ", "Sto. "), ("San ", "S. "))
 #: Where 'San' isn't a saint.
 NO_SAN = ("CN", "TW", "KR", "MM", "JP")
-US_ADM1 = {"01": "AL", "06": "CA", "08": "CO", "12": "FL", "25": "MA", "36": "NY", "48": "TX", "51": "VA"}
+#: FIPS numbers of the states, in order; the numbers that no state has are left out.
+_STATES = "AL AK - AZ AR CA - CO CT DE DC FL GA - HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA - RI SC SD TN TX UT VT VA - WA WV WI WY".split()
+US_ADM1 = {f"{i:02d}": c for i, c in enumerate(_STATES, 1) if c != "-"}
 TERRITORIES = {"AS": "AS", "GU": "GU", "MP": "MP", "PR": "PR", "VI": "VI", "UM": "UM"}
-USGS_CLASS = {"Populated Place": ("P", "PPL"), "School": ("S", "SCH"), "Church": ("S", "CH"), "Airport": ("S", "AIRP"), "Lake": ("H", "LK"), "Stream": ("H", "STM"), "Summit": ("T", "MT"), "Civil": ("A", "ADM2"), "Hospital": ("S", "HSP")}
 
 
 def repaired_ids(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -99,11 +100,14 @@ def adm1_map(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cc", "place_id").agg(pick("FIPS").alias("fips"), pick("ISO").alias("iso"))
 
 
-def usgs(rows: DataFrame) -> DataFrame:
-    """National file rows (feature_id, feature_name, feature_class, state_alpha, lat, lon) as gazetteer rows; territories get their country code, notes in parentheses go."""
-    table = F.create_map(*[x for k, (a, b) in USGS_CLASS.items() for x in (F.lit(k), F.struct(F.lit(a).alias("c"), F.lit(b).alias("d")))])
-    mapped = F.try_element_at(table, F.col("feature_class"))
-    out = rows.where(mapped.isNotNull() & ~F.col("feature_name").rlike(r"(?i)\(historical\)"))
+def usgs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """National file rows (feature_id, feature_name, feature_class, state_alpha, lat, lon) as gazetteer rows; territories get their country code, notes in parentheses go.
+
+    classes: usgs_class, feat_class, feat_code (readers.feature_map); rows of a class that isn't there are dropped.
+    """
+    table = classes.select(F.col("usgs_class").alias("feature_class"), F.struct(F.col("feat_class").alias("c"), F.col("feat_code").alias("d")).alias("mapped"))
+    out = rows.join(table, "feature_class").where(~F.col("feature_name").rlike(r"(?i)\(historical\)"))
+    mapped = F.col("mapped")
     land = F.col("state_alpha").isin(*TERRITORIES)
     return out.select(
         F.concat(F.lit("USGS"), F.col("feature_id").cast("string")).alias("place_id"), T.without_note(F.col("feature_name")).alias("name"), F.lit("N").alias("name_type"),

@@ -23,6 +23,8 @@ KEY = (*SPAN, "place_id")
 NAME_WEIGHT, BIAS_WEIGHT = 0.5, 0.10
 NEAR_KM, MAJOR_POPULATION = 10.0, 50_000
 ADJACENT = 5
+#: Characters of a stretch in which spans look for others.
+BUCKET = 64
 
 
 def contribution(rows: DataFrame, rule: str, score: Column) -> DataFrame:
@@ -115,7 +117,10 @@ def lone_codes(cands: DataFrame) -> DataFrame:
 def coordinate_rule(cands: DataFrame, coords: DataFrame) -> DataFrame:
     """5 at a coordinate of the document, falling to 0 at 10 km. coords: doc_id, lat, lon."""
     c = coords.select("doc_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-    near = cands.join(c, "doc_id").withColumn("km", G.km(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon"))).where(F.col("km") < NEAR_KM)
+    # Within 10 km latitudes differ by under a tenth of a degree: a place meets coordinates of its own band and the next ones.
+    band = lambda lat: F.floor(lat * 10)
+    c = c.withColumn("band", F.explode(F.sequence(band(F.col("c_lat")) - 1, band(F.col("c_lat")) + 1)))
+    near = cands.withColumn("band", band(F.col("lat"))).join(c, ["doc_id", "band"]).drop("band").withColumn("km", G.km(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon"))).where(F.col("km") < NEAR_KM)
     best = near.groupBy(*KEY).agg(F.min("km").alias("km"))
     return contribution(best, "CoordinateProximity", 5 * (NEAR_KM - F.col("km")) / NEAR_KM)
 
@@ -126,22 +131,27 @@ def province_rule(cands: DataFrame, provinces: DataFrame) -> DataFrame:
 
 
 def major_place_rule(cands: DataFrame, population: DataFrame, countries: DataFrame) -> DataFrame:
-    """Capitals 4, provinces 2, populations above 50,000 ln(p) - 10; 2 more where the country is named; weight 2 for any. population: cell, population."""
+    """Capitals 4, provinces 2, populations above 50,000 ln(p) - 10; 2 more where the country is named; weight 2 for any. A large population is marked by a rule of its own, of no score. population: cell, population."""
     peopled = cands.withColumn("cell", G.geohash(F.col("lat"), F.col("lon"), 5)).join(population, "cell", "left")
     named = peopled.join(countries.select("doc_id", "cc", F.lit(1).alias("c")), ["doc_id", "cc"], "left")
     pop = F.when((F.col("feat_class") == "P") & (F.col("population") > MAJOR_POPULATION), F.log("population") - 10).otherwise(0.0)
     score = F.when(C.is_capital(F.col("feat_code")), 4.0).when(C.is_admin1(F.col("feat_class"), F.col("feat_code")), 2.0).otherwise(0.0) + pop
-    some = named.withColumn("s", score).where("s > 0")
-    return contribution(some, "MajorPlace", F.col("s") + F.when(F.col("c").isNotNull(), 2.0).otherwise(0.0) + 2)
+    some = named.withColumns({"s": score, "pop": pop}).where("s > 0")
+    whole = contribution(some, "MajorPlace", F.col("s") + F.when(F.col("c").isNotNull(), 2.0).otherwise(0.0) + 2)
+    return whole.unionAll(contribution(some.where("pop > 0"), "MajorPopulation", F.lit(0.0)))
 
 
 def relations(spans: DataFrame, others: DataFrame) -> DataFrame:
-    """How spans lie to spans of another kind in the same document: same, within, contains, before or after (only blanks between). Equi-join on doc_id, ranges within it.
+    """How spans lie to spans of another kind in the same document: same, within, contains, before or after (only blanks between). Equi-join on doc_id and stretches of BUCKET characters, ranges within those.
 
     spans, others: doc_id, start, end, after (text that follows).
     """
     o = others.select("doc_id", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("after").alias("o_after"), *[c for c in ("type",) if c in others.columns])
-    pair = spans.select(*SPAN, "after").distinct().join(o, "doc_id")
+    buckets = lambda lo, hi: F.sequence(F.floor(lo / BUCKET), F.floor(hi / BUCKET))
+    o = o.withColumn("o_first", F.floor((F.col("o_start") - 2) / BUCKET)).withColumn("bucket", F.explode(buckets(F.col("o_start") - 2, F.col("o_end") + 2)))
+    mine = spans.select(*SPAN, "after").distinct().withColumn("s_first", F.floor(F.col("start") / BUCKET)).withColumn("bucket", F.explode(buckets(F.col("start"), F.col("end"))))
+    # A pair that shares several stretches meets in the first of them only.
+    pair = mine.join(o, ["doc_id", "bucket"]).where(F.col("bucket") == F.greatest("s_first", "o_first")).drop("bucket", "s_first", "o_first")
     gap = lambda text, a, b: F.trim(F.substring(text, F.lit(1), b - a)) == ""
     s, e, os, oe = (F.col(c) for c in ("start", "end", "o_start", "o_end"))
     kind = (
@@ -216,11 +226,13 @@ def context_rule(cands: DataFrame, countries: DataFrame, provinces: DataFrame, p
     joined = joined.join(provinces.select("doc_id", "path", F.lit(True).alias("p")), ["doc_id", "path"], "left")
     s = F.coalesce(5 * F.col("ratio"), F.lit(1.0))
     score = F.when(F.col("p"), 3 * s).otherwise(0.0) + F.when(F.col("ratio").isNotNull(), s).otherwise(0.0)
+    out = contribution(joined.withColumn("s", score).where("s > 0"), "Context", F.col("s"))
     if preferred_cc:
-        score = score + F.when(F.col("cc").isin(*preferred_cc), 0.5).otherwise(0.0)
-    for cell in preferred_cells:
-        score = score + F.when(G.geohash(F.col("lat"), F.col("lon"), 6).startswith(cell), 1.0).otherwise(0.0)
-    return contribution(joined.withColumn("s", score).where("s > 0"), "Context", F.col("s"))
+        out = out.unionAll(contribution(cands.where(F.col("cc").isin(*preferred_cc)), "PreferredCountry", F.lit(0.5)))
+    if preferred_cells:
+        inside = F.greatest(*[G.geohash(F.col("lat"), F.col("lon"), 6).startswith(c) for c in preferred_cells], F.lit(False))
+        out = out.unionAll(contribution(cands.where(inside), "PreferredCell", F.lit(1.0)))
+    return out
 
 
 def totals(cands: DataFrame, contributions: Sequence[DataFrame]) -> DataFrame:
@@ -242,40 +254,71 @@ def chosen(scored: DataFrame) -> DataFrame:
     order = Window.partitionBy(*SPAN).orderBy(F.desc("score"), F.desc("id_bias"), "place_id", "name")
     whole = Window.partitionBy(*SPAN)
     ranked = scored.withColumns({
-        "rank": F.row_number().over(order), "second_id": F.lead("place_id").over(order), "second_score": F.lead("score").over(order),
+        "rank": F.row_number().over(order), "second_id": F.lead("place_id").over(order), "second_score": F.lead("score").over(order), "second": F.lead(F.struct("lat", "lon", "cc", "adm1", "name")).over(order),
         "n_places": F.count(F.lit(1)).over(whole), "n_countries": F.size(F.collect_set("cc").over(whole)),
     })
     return ranked.where("rank = 1").drop("rank")
 
 
-def confidence(best: DataFrame, countries: DataFrame) -> DataFrame:
-    """best with confidence, 0 to 100: from a base by kind of place, evidence adds and doubt takes away.
+#: Points that a mention begins with, and those that evidence adds or takes.
+GEODETIC, ONE_PLACE, NAME_REGION, ONE_COUNTRY, COUNTRIES, LEAST, BARE_ACRONYM = 90, 70, 65, 50, 40, 20, 10
+ADDED, UNIQUE_COUNTRY, LOWER_CASE, SHORT = 5, 8, -10, 8
 
-    Base 20; a name that only one place has +20; countries and provinces +15; capitals +12; populated places +5; a pair
-    with its province or country +30; coordinates near +20; others close by +10; major +10; the country named +10; a clear lead
-    over the second +10; lower case -15; up to three characters -10; only the default score -10.
+
+def confidence(best: DataFrame, countries: DataFrame, lower_text: bool = False) -> DataFrame:
+    """best with confidence, 0 to 100. A country has 65 by name and 20 by abbreviation. Any other place begins with the first of these that holds:
+
+    90 near a coordinate of the document; 70 the only place of its name, and some country is named; 10 a short name with
+    diacritics, and none is; 65 in a pair with its province; 50 one country is named; with no evidence but the default score 20,
+    or 10 where text and name differ in being upper case; 40 several countries are named; else 20.
+    Then: a fifth of the feature's weight; lower case -10, of which administrative places win back 15 and populated ones 10; a
+    short name, not administrative, -10 without evidence and -5 in lower case; a point for every five characters and every word (each
+    character and word in CJK); with an equal second place 6 within 10 km, 4 of the same name and province, 3 the same province, 2
+    the same country, else -5; 5 where the second scores less by a sixth; 8 a name of one country; 5 a major population,
+    5 a capital or province, 5 its country is named, 5 each for the caller's country and cell; in texts all in lower case
+    the length less 4.
     """
     has = lambda r: F.array_contains("rules", r)
     points = lambda c, n: F.when(c, n).otherwise(0)
-    named = best.join(countries.select("doc_id", "cc", F.lit(True).alias("__c")), ["doc_id", "cc"], "left")
-    total = (
-        F.lit(20) + points(F.col("n_places") == 1, 20) + points(C.is_upper_admin(F.col("feat_class"), F.col("feat_code")), 15) + points(C.is_capital(F.col("feat_code")), 12)
-        + points(F.col("feat_class") == "P", 5) + points(has("NameCode"), 30) + points(has("CoordinateProximity"), 20) + points(has("HeatMap"), 10) + points(has("MajorPlace"), 10)
-        + points(F.col("__c"), 10) + points(F.col("score") - F.coalesce("second_score", F.lit(0.0)) > 1, 10)
-        - points(T.is_lower(F.col("text")), 15) - points(F.length("text") <= 3, 10) - points(only_default(F.col("rules")), 10)
+    t, n = F.col("text"), F.length("text")
+    named = countries.groupBy("doc_id").agg(F.collect_set("cc").alias("__ccs"))
+    rows = best.join(named, "doc_id", "left").withColumn("__ccs", F.coalesce("__ccs", F.array().cast("array<string>")))
+    m = F.size("__ccs")
+    alone, lower, short, admin = only_default(F.col("rules")), T.is_lower(t), n <= SHORT, C.is_administrative(F.col("feat_class"))
+    first = (
+        F.when(has("CoordinateProximity"), GEODETIC).when((F.col("n_places") == 1) & (m > 0), ONE_PLACE).when((m == 0) & T.has_diacritics(t) & short, LEAST - 10)
+        .when(has("NameCode"), NAME_REGION).when(m == 1, ONE_COUNTRY).when(alone, F.when(T.is_upper(t) != T.is_upper(F.col("name")), BARE_ACRONYM).otherwise(LEAST))
+        .when(m > 0, COUNTRIES).otherwise(LEAST)
     )
-    return named.withColumn("confidence", F.greatest(F.least(total, F.lit(100)), F.lit(0))).drop("__c")
+    case = points(lower, F.lit(LOWER_CASE) + F.when(admin, 15).when(F.col("feat_class") == "P", 10).otherwise(0))
+    small = points(~admin & short, points(alone, F.lit(-10)) + points(lower & F.lit(not lower_text), F.lit(-5)))
+    words = F.size(F.split(F.trim(t), r"\s+"))
+    depth = F.when(T.has_cjk(t), n + words).otherwise(F.floor(n / 5) + words)
+    other = F.col("second")
+    same_land = other["cc"] == F.col("cc")
+    same_province = same_land & (other["adm1"] == F.col("adm1"))
+    equal = F.coalesce(F.col("second_score") == F.col("score"), F.lit(False))
+    tie = F.when(G.km(F.col("lat"), F.col("lon"), other["lat"], other["lon"]) < NEAR_KM, 6).when(same_province & (other["name"] == F.col("name")), 4).when(same_province, 3).when(same_land, 2).otherwise(-5)
+    lead = points((F.col("second_score") > 0) & (F.col("score") / F.col("second_score") > 1.2), ADDED)
+    evidence = F.when(equal, tie).otherwise(lead) + points(F.col("n_countries") == 1, UNIQUE_COUNTRY) + points(has("MajorPopulation"), ADDED) + points(has("MajorPlace"), ADDED) + points(F.array_contains("__ccs", F.col("cc")), ADDED)
+    preferred = points(has("PreferredCountry"), ADDED) + points(has("PreferredCell"), ADDED) + points(F.lit(lower_text), n - 4)
+    total = first + F.floor(0.2 * C.feature_weight(F.col("feat_class"), F.col("feat_code"))) + case + small + depth + evidence + preferred
+    country = F.when(F.col("name_type") != "N", LEAST).otherwise(NAME_REGION)
+    whole = F.when(C.is_political(F.col("feat_code")), country).otherwise(total)
+    return rows.withColumn("confidence", F.greatest(F.least(whole, F.lit(100)), F.lit(0)).cast("int")).drop("__ccs")
 
 
 def merged(best: DataFrame, pairs: DataFrame) -> DataFrame:
-    """'A, B' as one span where the chosen places are a pair: A's place, B's span dropped. best: chosen rows with text; pairs: name_code_pairs()."""
+    """'A, B' as one span where the chosen places are a pair: A's place, B's span dropped; so are codes of countries that stand alone. best: chosen rows with text; pairs: name_code_pairs()."""
     tail = best.select("doc_id", F.col("start").alias("n_start"), F.col("end").alias("n_end"), F.col("place_id").alias("n_place_id"), F.col("text").alias("n_text"))
     real = pairs.select(*KEY, "n_start", "n_end", "n_place_id").distinct().join(tail, ["doc_id", "n_start", "n_end", "n_place_id"])
     joined = best.join(real, [*KEY], "left")
     between = F.substring(F.col("after"), F.lit(1), F.col("n_start") - F.col("end"))
     whole = joined.withColumns({"text": F.when(F.col("n_end").isNull(), F.col("text")).otherwise(F.concat("text", between, "n_text")), "end": F.coalesce("n_end", "end")})
     used = real.join(best.select(*KEY), [*KEY], "left_semi").select("doc_id", F.col("n_start").alias("start"), F.col("n_end").alias("end")).distinct()
-    return whole.join(used, [*SPAN], "left_anti").select(*best.columns)
+    left = whole.join(used, [*SPAN], "left_anti")
+    bare = C.is_political(F.col("feat_code")) & (F.col("name_type") != "N") & (F.length("text") <= 3)
+    return left.where(~bare).select(*best.columns)
 
 
 def inferred_countries(best: DataFrame) -> DataFrame:

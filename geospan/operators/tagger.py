@@ -1,47 +1,120 @@
 """Tagging: every phrase of a dictionary that occurs in a text, as spans; and what to do when spans overlap.
 
-A text becomes windows of at most K words, K being the longest phrase. Windows whose first word
-begins no phrase are dropped by a join before anything is expanded; those that stay are cut to
-the lengths that phrases with this first word really have, and joined with the dictionary. Both
-joins are left to the optimizer, which broadcasts a dictionary below its size limit and shuffles
-words and phrases beyond it, so that a dictionary of millions of names works as well as a short list.
+A dictionary of up to COMPILED phrases is compiled once and sent to all tasks: a text is read in
+one pass that hashes its words and looks runs of them up, and yields the spans found with their
+text and surroundings, so texts never move. tag() is then one narrow step, which also runs on a stream.
+
+Beyond that size words and phrases meet by joins. A text becomes windows of at most K words, K being
+the longest phrase. Windows whose first word begins no phrase are dropped by a join before anything
+is expanded; those that stay are cut to the lengths that phrases with this first word really have,
+and joined with the dictionary.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import words
 
 TAG_LIMIT = 100_000
+TOO_MANY = "a document has more tags than the limit: break up the input"
+#: Dictionaries of up to so many phrases (some ten MB) are sent to all tasks.
+COMPILED = 200_000
+#: Texts, and words, that are worked on at once.
+SLICE, ROWS = 500, 20_000
 
 
 def phrases(dictionary: DataFrame, name: str = "name", lang: str | None = None) -> DataFrame:
     """dictionary with phrase, the key that texts are matched by; rows without a word are dropped."""
-    words = T.tokens(F.lower(T.fold(F.col(name))), F.col(lang) if lang else None)
-    key = F.array_join(F.transform(words, lambda w: w.text), " ")
+    plain = F.lower(T.fold(F.col(name)))
+    key = F.array_join(F.regexp_extract_all(plain, F.lit(T.WORD), F.lit(0)), " ")
+    if lang:
+        key = F.when(F.col(lang).isin(*T.CJK_LANGS), T.norm(F.col(name))).otherwise(key)
     return dictionary.withColumn("phrase", key).where("phrase <> ''")
 
 
-def tag(docs: DataFrame, dictionary: DataFrame, lang: str | None = None) -> DataFrame:
-    """(doc_id, start, end, text, phrase): a row for each place where a phrase occurs.
+def compiled(dictionary: DataFrame | Iterable[str]) -> words.Phrases | None:
+    """The phrases of a dictionary, or None if there are more than COMPILED. The count is bounded where the phrases are read."""
+    if not isinstance(dictionary, DataFrame):
+        return words.Phrases(dictionary)
+    rows = dictionary.select("phrase").distinct().limit(COMPILED + 1).collect()
+    return words.Phrases(r.phrase for r in rows) if len(rows) <= COMPILED else None
 
-    docs: doc_id, text and, if named, a language column. dictionary: phrase, as made by phrases().
-    A null text has no spans; rows that repeat a doc_id are tagged each. Case and diacritics are
-    folded, punctuation between words is passed over.
+
+def tag(docs: DataFrame, dictionary: DataFrame | words.Phrases, lang: str | None = None, window: int = 40, overlaps: str = "all", limit: int | None = None) -> DataFrame:
+    """(doc_id, start, end, phrase, text, before, after): a row for each place where a phrase occurs.
+
+    docs: doc_id, text and, if named, a language column. dictionary: a table with phrase, as made by phrases(),
+    or what compiled() made of it. A null text has no spans; rows that repeat a doc_id are tagged each. Case and
+    diacritics are folded, punctuation between words is passed over. before, after: up to window characters.
+    overlaps: 'all', or what no_sub() or longest_dominant_right() keep of a text's spans; limit: as limited().
     """
+    choose = {"all": None, "no_sub": words.not_within, "longest_dominant_right": words.dominant}[overlaps]
+    known = dictionary if isinstance(dictionary, words.Phrases) else compiled(dictionary)
+    if known is None:
+        spans = joined_tags(docs, dictionary, lang)
+        spans = no_sub(spans) if overlaps == "no_sub" else longest_dominant_right(spans) if overlaps == "longest_dominant_right" else spans
+        return with_text(spans if limit is None else limited(spans, limit), docs, window)
+    rows = docs.select("doc_id", "text", *([lang] if lang else []))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                texts = batch.column(1).to_pylist()
+                hits = known.match(texts, batch.column(2).to_pylist() if lang else None)
+                if choose is not None:
+                    hits = words.by_text(hits, choose)
+                if limit is not None and hits and max(Counter(h[0] for h in hits).values()) > limit:
+                    raise ValueError(TOO_MANY)
+                if hits:
+                    of, start, end, phrase = zip(*hits)
+                    cut = lambda f: pa.array([f(texts[i], s, e) for i, s, e in zip(of, start, end)], pa.string())  # noqa: B023, E731
+                    parts = [cut(lambda t, s, e: t[s:e]), cut(lambda t, s, e: t[max(s - window, 0) : s]), cut(lambda t, s, e: t[e : e + window])]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(phrase, pa.string()), *parts], names=["doc_id", "start", "end", "phrase", "text", "before", "after"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, start int, end int, phrase string, text string, before string, after string")
+
+
+def all_words(docs: DataFrame, *columns: str, lang: str | None = None) -> DataFrame:
+    """(doc_id, columns, start, end, text) of every word of every text."""
+    rows = docs.select("doc_id", *columns, "text", *([lang] if lang else []))
+    n = 1 + len(columns)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                texts = batch.column(n).to_pylist()
+                of, start, end, _ = words.found(texts, batch.column(n + 1).to_pylist() if lang else None, hashes=False)
+                for lo in range(0, len(of), ROWS):
+                    part = slice(lo, lo + ROWS)
+                    each = [texts[i][s:e] for i, s, e in zip(of[part].tolist(), start[part].tolist(), end[part].tolist())]
+                    index = pa.array(of[part])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(k).take(index) for k in range(n)], pa.array(start[part]), pa.array(end[part]), pa.array(each, pa.string())], names=["doc_id", *columns, "start", "end", "text"])
+
+    return rows.mapInArrow(run, ", ".join([*kinds, "start int, end int, text string"]))
+
+
+def joined_tags(docs: DataFrame, dictionary: DataFrame, lang: str | None = None) -> DataFrame:
+    """(doc_id, start, end, phrase) by joins, for a dictionary of any size."""
     # Only the phrases matter here; what they stand for is joined to the spans found.
     keys = dictionary.select("phrase").distinct().withColumn("n", F.size(F.split("phrase", " ")))
-    longest = keys.agg(F.max("n")).first()[0] or 0
     heads = keys.groupBy(F.split_part("phrase", F.lit(" "), F.lit(1)).alias("head")).agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+    longest = keys.agg(F.max("n")).first()[0] or 0
     found = T.tokens(F.col("text"), F.col(lang) if lang else None)
     windows = T.let(found, lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.slice(w, i, F.lit(max(longest, 1))))))
-    words = docs.select("doc_id", *(["text"] if lang is None else ["text", lang])).select("doc_id", F.explode_outer(windows).alias("w")).where("w is not null")  # a plain explode would have the windows made twice, for a filter
-    words = words.withColumn("head", F.lower(T.fold(F.col("w")[0].text)))
-    begun = words.join(heads, "head").select("doc_id", "w", F.explode(F.filter("lengths", lambda n: n <= F.size("w"))).alias("n"))
+    each = docs.select("doc_id", *(["text"] if lang is None else ["text", lang])).select("doc_id", F.explode_outer(windows).alias("w")).where("w is not null")  # a plain explode would have the windows made twice, for a filter
+    each = each.withColumn("head", F.lower(T.fold(F.col("w")[0].text)))
+    begun = each.join(heads, "head").select("doc_id", "w", F.explode(F.filter("lengths", lambda n: n <= F.size("w"))).alias("n"))
     phrase = F.array_join(F.transform(F.slice("w", F.lit(1), F.col("n")), lambda x: F.lower(T.fold(x.text))), " ")
     last = F.element_at("w", F.col("n"))
     spans = begun.select("doc_id", F.col("w")[0].start.alias("start"), last.end.alias("end"), phrase.alias("phrase"))
@@ -84,7 +157,7 @@ def longest_dominant_right(spans: DataFrame) -> DataFrame:
 def limited(spans: DataFrame, limit: int = TAG_LIMIT) -> DataFrame:
     """The same spans, or an error that asks for shorter documents, where one has more than the limit."""
     n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    checked = F.when(n > limit, F.raise_error(F.lit("a document has more tags than the limit: break up the input"))).otherwise(F.lit(True))
+    checked = F.when(n > limit, F.raise_error(F.lit(TOO_MANY))).otherwise(F.lit(True))
     return spans.withColumn("__n", checked).where("__n").drop("__n")
 
 
@@ -115,8 +188,7 @@ def lexicon_tag(docs: DataFrame, lexicon: DataFrame, lower_case: bool = False) -
     lexicon: phrase, catalog, taxnode, acronym. Spans with more than one line end or tab are dropped, lower-case
     ones too unless asked for; an acronym must be in upper case; a span left with no taxon vanishes.
     """
-    found = no_sub(tag(docs, lexicon))
-    seen = with_text(found, docs)
+    seen = tag(docs, lexicon, overlaps="no_sub")
     seen = seen.where((F.length("text") >= 3) & (T.count_formatting(F.col("text")) <= 1) & ~is_spaced_out(F.col("text")))
     if not lower_case:
         seen = seen.where(~T.is_lower(F.col("text")))

@@ -14,6 +14,7 @@ from ..operators import etl, filters, lookup, patterns, postal, rules, social, t
 from ..sources import readers, sinks
 from . import fixtures as X
 from . import geocoder
+from .keep import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,7 +35,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "documents")
 
 
-# --- tagging ---------------------------------------------------------------------------------
+# tagging
 _LEX = rf"""WITH {X.LEXICON}, {X.tags_sql('documents', 'dict', 5)},
 kept AS (SELECT * FROM tags a WHERE NOT EXISTS (SELECT 1 FROM tags b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND b."end" >= a."end" AND (b.start < a.start OR b."end" > a."end"))),
 seen AS (SELECT k.*, substr(d.text, k.start + 1, k."end" - k.start) AS text FROM kept k JOIN documents d USING (doc_id)),
@@ -70,7 +71,7 @@ def gaz_tag_overlap(spark: SparkSession, d: str) -> DataFrame:
     region = X.table(spark, d, "region")
     pairs = X.table(spark, d, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(T.norm(F.concat_ws(" ", "n_name", "r_name")).alias("phrase"))
     words = X.gazetteer(spark, d).select("phrase").unionAll(pairs)
-    return tagger.limited(tagger.longest_dominant_right(tagger.tag(X.texts(spark, d), words))).select("doc_id", "start", "end").distinct()
+    return tagger.tag(X.texts(spark, d), words, overlaps="longest_dominant_right", limit=tagger.TAG_LIMIT).select("doc_id", "start", "end").distinct()
 
 
 @query("SELECT phrase, catalog, taxnode FROM (WITH " + X.LEXICON + " SELECT * FROM dict) WHERE ' ' || phrase || ' ' LIKE '% the %' AND length(phrase) <= 60")
@@ -78,13 +79,12 @@ def lexicon_search(spark: SparkSession, d: str) -> DataFrame:
     return tagger.search(X.lexicon(spark, d), "the", 60).select("phrase", "catalog", "taxnode")
 
 
-# --- spans and filters -------------------------------------------------------------------------
+# spans and filters
 _WORDS = X.spans_sql("documents", r"[\p{L}\p{N}]+", "w")
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    each = _docs(spark, d).select("doc_id", "lang", F.explode(T.tokens(F.col("text"))).alias("w"))
-    return each.select("doc_id", "lang", "w.*")
+    return tagger.all_words(_docs(spark, d), "lang")
 
 
 @query(rf"""WITH {_WORDS}
@@ -130,7 +130,7 @@ def name_filters(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "customer").select("c_custkey", "c_name", F.regexp_count(t, F.lit("0")).cast("long").alias("zeros"), ((F.length(t) <= 20) & filters.irregular_punctuation(t)).alias("irregular"), F.levenshtein(t, F.lit("Customer#000000000")).cast("long").alias("distance"), filters.bad_postal(code).alias("bad_postal"))
 
 
-# --- patterns ----------------------------------------------------------------------------------
+# patterns
 def _life_sql(part: str, rule: str, family: str, norm: str) -> str:
     return f"WITH {X.spans_sql('documents', part)} SELECT doc_id, s AS start, e AS \"end\", t AS text, '{family}' AS family, '{rule}' AS rule, {norm} AS norm FROM sp"
 
@@ -202,7 +202,7 @@ def pattern_checks(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "file string, rule string, text string, expected boolean, found boolean")
 
 
-# --- gazetteer ---------------------------------------------------------------------------------
+# gazetteer
 def _geohash_sql(lat: str, lon: str, size: int) -> str:
     n_lat, n_lon = size * 5 // 2, size * 5 - size * 5 // 2
     y, x = f"least(floor(({lat} + 90) / 180 * {1 << n_lat}), {(1 << n_lat) - 1})::BIGINT", f"least(floor(({lon} + 180) / 360 * {1 << n_lon}), {(1 << n_lon) - 1})::BIGINT"
@@ -256,15 +256,15 @@ def gaz_exclude(spark: SparkSession, d: str) -> DataFrame:
     return etl.excluded(X.gazetteer(spark, d), rules_).select("place_id", "name")
 
 
-@query("SELECT p_partkey, p_name, (lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_partkey < 5) OR length(p_name) <= 2) AS search_only FROM part")
+@query("SELECT p_partkey, p_name, (lower(p_name) IN (SELECT lower(s_name) FROM supplier UNION SELECT lower(p_type) FROM part) OR length(p_name) <= 2) AS search_only FROM part")
 def gaz_search_only(spark: SparkSession, d: str) -> DataFrame:
     part = X.table(spark, d, "part")
     names = part.select("p_partkey", F.col("p_name").alias("name"), F.lit("P").alias("feat_class"))
-    flagged = etl.with_search_only(names, part.where("p_partkey < 5").select(F.col("p_name").alias("term")))
+    flagged = etl.with_search_only(names, X.table(spark, d, "supplier").select(F.col("s_name").alias("term")).unionAll(part.select(F.col("p_type").alias("term"))))
     return flagged.select("p_partkey", F.col("name").alias("p_name"), "search_only")
 
 
-@query(f"""WITH {X.GAZ}, lost AS (SELECT *, {_geohash_sql('lat', 'lon', 3)} AS gh FROM gaz WHERE feat_code = 'PPL' AND substr(place_id, 2)::BIGINT % 3 = 0),
+@query(f"""WITH {X.GAZ}, lost AS (SELECT *, {_geohash_sql('lat', 'lon', 3)} AS gh FROM gaz),
 known AS (SELECT *, {_geohash_sql('lat', 'lon', 3)} AS gh FROM gaz),
 t AS (SELECT n, lower(name) AS k, cc, substr(gh, 1, n) AS p, min(place_id) AS id FROM known, (VALUES (3), (2), (1), (0)) v(n) GROUP BY ALL HAVING count(DISTINCT place_id) = 1)
 SELECT l.place_id AS true_id, coalesce(t3.id, t2.id, t1.id, t0.id) AS place_id FROM lost l
@@ -272,8 +272,8 @@ LEFT JOIN t t3 ON t3.n = 3 AND t3.k = lower(l.name) AND t3.cc = l.cc AND t3.p =
 LEFT JOIN t t1 ON t1.n = 1 AND t1.k = lower(l.name) AND t1.cc = l.cc AND t1.p = l.gh[1:1] LEFT JOIN t t0 ON t0.n = 0 AND t0.k = lower(l.name) AND t0.cc = l.cc AND t0.p = ''""")
 def place_id_repair(spark: SparkSession, d: str) -> DataFrame:
     gaz = X.gazetteer(spark, d)
-    lost = gaz.where((F.col("feat_code") == "PPL") & (F.substring("place_id", 2, 12).cast("long") % 3 == 0))
-    gone = lost.withColumn("true_id", F.col("place_id")).withColumn("place_id", F.lit(None).cast("string"))
+    """Every id is taken away and looked up again."""
+    gone = gaz.withColumn("true_id", F.col("place_id")).withColumn("place_id", F.lit(None).cast("string"))
     return etl.repaired_ids(gone, gaz).select("true_id", "place_id")
 
 
@@ -356,14 +356,14 @@ def revgeo_tiers(spark: SparkSession, d: str) -> DataFrame:
     return lookup.reverse_geocode(_points(spark, d), X.gazetteer(spark, d)).select("point_id", "method", "place_id", F.round("km", 6).alias("km"))
 
 
-# --- rules -------------------------------------------------------------------------------------
+# rules
 _CAND = rf"""{X.GAZ}, {X.TEXTS}, {X.tags_sql('text_fx', 'gaz', 2)},
 cand AS (SELECT t.doc_id, t.start, t."end", substr(d.text, t.start + 1, t."end" - t.start) AS text, g.* FROM tags t JOIN gaz g USING (phrase) JOIN text_fx d USING (doc_id))"""
 
 
 def _cands(spark: SparkSession, d: str) -> DataFrame:
-    """Persisted, as rules read candidates several times."""
-    return geocoder.candidates(X.texts(spark, d), X.gazetteer(spark, d)).persist()
+    """Worked out once, as rules read candidates several times."""
+    return kept(geocoder.candidates(X.texts(spark, d), X.gazetteer(spark, d)), "candidates")
 
 
 _SPAN = 'doc_id, start, "end"'
@@ -403,11 +403,15 @@ def coord_association(spark: SparkSession, d: str) -> DataFrame:
     return rules.coordinate_rule(_cands(spark, d), patterns.coordinates(X.texts(spark, d))).select(*rules.KEY, F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_CAND} SELECT {_SPAN}, place_id, round(CASE WHEN feat_code = 'PPLC' THEN 4 WHEN feat_code = 'ADM1' THEN 2 ELSE 0 END + CASE WHEN feat_class = 'P' AND pop > 50000 THEN ln(pop) - 10 ELSE 0 END + 2 + CASE WHEN cc IN (SELECT cc FROM cand c WHERE c.doc_id = x.doc_id AND c.feat_code = 'PCLI') THEN 2 ELSE 0 END, 6)::DOUBLE AS score FROM (SELECT cand.*, 60000 + 1000 * (substr(place_id, 2)::BIGINT % 50) AS pop FROM cand) x WHERE feat_code IN ('PPLC', 'ADM1')")
+_PEOPLE = f"placed AS (SELECT place_id, {_geohash_sql('lat', 'lon', 5)} AS cell FROM gaz), people AS (SELECT cell, max(20000 + substr(place_id, 2)::BIGINT * 7919 % 900000) AS pop FROM placed GROUP BY cell)"
+
+
+@query(f"WITH {_CAND}, {_PEOPLE} SELECT {_SPAN}, place_id, round(s + 2 + CASE WHEN EXISTS (SELECT 1 FROM cand c WHERE c.doc_id = x.doc_id AND c.feat_code LIKE 'PCL%' AND c.cc = x.cc) THEN 2 ELSE 0 END, 6)::DOUBLE AS score FROM (SELECT cand.*, CASE WHEN feat_code = 'PPLC' THEN 4 WHEN feat_code = 'ADM1' THEN 2 ELSE 0 END + CASE WHEN feat_class = 'P' AND pop > 50000 THEN ln(pop) - 10 ELSE 0 END AS s FROM cand JOIN placed USING (place_id) JOIN people USING (cell)) x WHERE s > 0")
 def major_place(spark: SparkSession, d: str) -> DataFrame:
     cands = _cands(spark, d)
-    none = spark.createDataFrame([], "cell string, population long")
-    return rules.major_place_rule(cands.where("feat_code in ('PPLC', 'ADM1')"), none, rules.country_context(cands)).select(*rules.KEY, F.round("score", 6).alias("score"))
+    stats = X.gazetteer(spark, d).select("lat", "lon", (20000 + F.substring("place_id", 2, 12).cast("long") * 7919 % 900000).alias("population"))
+    found = rules.major_place_rule(cands, lookup.population_by_cell(stats), rules.country_context(cands))
+    return found.where("rule = 'MajorPlace'").select(*rules.KEY, F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_CAND}, pl AS (SELECT place_id AS pid, {_geohash_sql('lat', 'lon', 4)} AS g4 FROM gaz), b AS (SELECT DISTINCT doc_id, start, "end", place_id, phrase, unnest(['3:' || substr(g4, 1, 3), '4:' || g4, 'adm:' || cc || '.' || adm1]) AS bucket FROM cand JOIN pl ON pid = place_id),
@@ -445,21 +449,21 @@ def choose_best(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_CAND} SELECT doc_id, 'Customer ' || o_custkey || ', ' || n_name AS text, 'C' || o_custkey AS place_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT DISTINCT doc_id FROM cand) ON doc_id = o_orderkey""")
 def related_merge(spark: SparkSession, d: str) -> DataFrame:
     cands = _cands(spark, d)
-    best = rules.chosen(rules.totals(cands, [rules.default_score(cands), rules.name_code_rule(cands)])).persist()
+    best = kept(rules.chosen(rules.totals(cands, [rules.default_score(cands), rules.name_code_rule(cands)])), "chosen")
     whole = rules.merged(best, rules.name_code_pairs(cands))
     return whole.where("place_id like 'C%'").select("doc_id", "text", "place_id")
 
 
-# --- postal ------------------------------------------------------------------------------------
+# postal
 @query(f"""WITH {X.GAZ}, {X.POSTAL} SELECT doc_id, text, 0 AS c_start, length(text)::INTEGER AS c_end, 'Customer ' || doc_id AS city, adm1_name AS admin FROM post_fx JOIN (SELECT c_custkey, adm1_name FROM customer JOIN nat ON c_nationkey = nk) ON c_custkey = doc_id""")
 def postal_derive(spark: SparkSession, d: str) -> DataFrame:
     texts = X.postal_texts(spark, d)
-    post = postal.candidates(geocoder.candidates(texts, X.postal_gazetteer(spark, d), geocoder.Parameters(postal=True))).persist()
-    linked = postal.linked(postal.pairs(post, geocoder.candidates(texts, X.gazetteer(spark, d)).persist()).persist())
+    post = kept(postal.candidates(geocoder.candidates(texts, X.postal_gazetteer(spark, d), geocoder.Parameters(postal=True))), "postal")
+    linked = postal.linked(kept(postal.pairs(post, kept(geocoder.candidates(texts, X.gazetteer(spark, d)), "candidates")), "pairs"))
     return linked.join(texts.select("doc_id", F.col("text").alias("t")), "doc_id").select("doc_id", F.substring("t", F.col("c_start") + 1, F.col("c_end") - F.col("c_start")).alias("text"), "c_start", "c_end", "city", "admin")
 
 
-# --- social ------------------------------------------------------------------------------------
+# social
 _SCORES = f"""{X.PROFILES}, {X.COUNTRIES},
 why AS (
   SELECT user_id, cc, 'tz' AS why, 3 AS s FROM prof JOIN cty ON lower(prof.tz) = cty.tz
@@ -485,7 +489,7 @@ def profile_located(spark: SparkSession, d: str) -> DataFrame:
     return social.located(X.profiles(spark, d), gaz, X.countries(spark, d), names).select("user_id", "method")
 
 
-# --- sinks and sources ---------------------------------------------------------------------------
+# sinks and sources
 @query(f"WITH {_DD} SELECT doc_id, 'coord' AS type, start AS \"offset\", (\"end\" - start)::INTEGER AS length, text AS matchtext, round(lat, 6) AS lat, round(lon, 6) AS lon FROM dd WHERE lat <> 0 OR lon <> 0")
 def annotations_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Coordinates to JSON and back."""
@@ -517,6 +521,6 @@ def events_hourly(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query(f"WITH {X.GAZ} SELECT place_id, CASE feat_code WHEN 'PCLI' THEN 20 WHEN 'ADM1' THEN 13 WHEN 'PPLC' THEN 16 ELSE 9 END AS weight, cc || '.' || adm1 AS path FROM gaz")
+@query(f"WITH {X.GAZ} SELECT place_id, CASE WHEN feat_code IN ('PCLI', 'ADM1') THEN 16 WHEN feat_code = 'PPLC' THEN 15 ELSE 10 END AS weight, cc || '.' || adm1 AS path FROM gaz")
 def feature_weights(spark: SparkSession, d: str) -> DataFrame:
     return X.gazetteer(spark, d).select("place_id", C.feature_weight(F.col("feat_class"), F.col("feat_code")).alias("weight"), C.path(F.col("cc"), F.col("adm1")).alias("path"))

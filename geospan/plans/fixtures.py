@@ -80,10 +80,14 @@ text_fx AS (
 )"""
 
 
+def _runs(words: Column) -> Column:
+    return T.let(words, lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.slice(w, i, F.lit(5)))))
+
+
 def lexicon(spark: SparkSession, d: str) -> DataFrame:
-    """Phrases of the first five words of each benchmark item."""
-    words = F.slice(T.tokens(F.col("text")), F.lit(1), F.lit(5))
-    rows = table(spark, d, "benchmark").withColumn("name", F.array_join(F.transform(words, lambda w: w.text), " "))
+    """Every run of five words of each benchmark item."""
+    words = F.explode(_runs(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))))
+    rows = table(spark, d, "benchmark").select("item_id", words.alias("w")).withColumn("name", F.array_join("w", " ")).drop("w").distinct()
     rows = rows.select("name", F.concat(F.lit("org.bench."), F.col("item_id").cast("string")).alias("taxnode"), F.lit("bench").alias("catalog"), F.lit(False).alias("acronym"), F.lit(True).alias("valid"))
     return tagger.phrases(rows)
 
@@ -97,7 +101,8 @@ def fold_sql(x: str) -> str:
 
 LEXICON = rf"""
 dict AS (
-  SELECT array_to_string(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')[1:5], lambda x: lower({fold_sql('x')})), ' ') AS phrase, 'org.bench.' || item_id AS taxnode, 'bench' AS catalog FROM benchmark
+  SELECT DISTINCT array_to_string(list_transform(w[i:i + 4], lambda x: lower({fold_sql('x')})), ' ') AS phrase, 'org.bench.' || item_id AS taxnode, 'bench' AS catalog
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT item_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w FROM benchmark))
 )"""
 
 

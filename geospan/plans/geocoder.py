@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import filters, lookup, patterns, rules, tagger
+from .keep import kept
 
 #: A rule of the caller's own: candidates in, contributions out.
 Rule = Callable[[DataFrame], DataFrame]
@@ -45,8 +46,7 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
 
 def candidates(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(), ctx: Context = Context()) -> DataFrame:
     """Spans with the places that they may mean, after the span filters."""
-    found = tagger.longest_dominant_right(tagger.tag(docs, gaz))
-    spans = tagger.with_text(tagger.limited(found), docs)
+    spans = tagger.tag(docs, gaz, overlaps="longest_dominant_right", limit=tagger.TAG_LIMIT)
     t = F.col("text")
     bad = filters.too_short(t) | filters.broken_lines(t) | (F.lit(not params.postal) & filters.nonsense(t)) | filters.non_latin_noise(t) | filters.contraction(t, F.col("before")) | (F.length(t) < params.min_len)
     if not params.lower_case:
@@ -64,12 +64,11 @@ def candidates(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(
 def geocode(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(), ctx: Context = Context(), cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """(doc_id, start, end, text, place_id, name, cc, adm1, feat_class, feat_code, lat, lon, score, rules, second_id, confidence).
 
-    cut materialises what all rules read: a function (df, name) that writes a table and reads it back; without one
-    it is persisted, in memory and on disk.
+    cut materialises what all rules read: a function (df, name) that gives the table back; keep.kept() where there is none.
     """
     spark = docs.sparkSession
     cands = candidates(docs, gaz, params, ctx)
-    keep = cut or (lambda df, name: df.persist())
+    keep = cut or kept
     cands = keep(cands, "candidates")
     gone = rules.bad_country_mention(cands).unionAll(rules.lone_codes(cands)).unionAll(rules.code_noise(cands))
     if ctx.person_names is not None:

@@ -72,6 +72,12 @@ def usgs(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col(c["feature_id"]).alias("feature_id"), F.col(c["feature_name"]).alias("feature_name"), F.col(c["feature_class"]).alias("feature_class"), F.col(c["state_alpha"]).alias("state_alpha"), F.col(c["prim_lat_dec"]).try_cast("double").alias("lat"), F.col(c["prim_long_dec"]).try_cast("double").alias("lon"))
 
 
+def feature_map(spark: SparkSession, path: str) -> DataFrame:
+    """(usgs_class, feat_class, feat_code) from a CSV with a header and those three columns."""
+    raw = spark.read.schema("usgs_class string, feat_class string, feat_code string").option("header", "true").csv(path)
+    return raw.where("usgs_class is not null and feat_code is not null").distinct()
+
+
 def nga(spark: SparkSession, path: str, version: int) -> DataFrame:
     """Country files in the older layout (FIPS codes, before 2022) or the newer (ISO codes)."""
     raw = spark.read.option("sep", "\t").option("header", "true").option("quote", "").csv(path)
