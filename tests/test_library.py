@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from geospan.functions import codes as C
 from geospan.functions import geo as G
 from geospan.functions import text as T
+from geospan.functions import words as W
 from geospan.operators import etl, filters, lookup, patterns, postal, rules, tagger
 from geospan.sources import readers, sinks
+from geospan.streaming import stream
 
 
 def value(spark, text, f):
@@ -117,3 +119,37 @@ def test_a_rule_counts_once(spark):
     cands = spark.createDataFrame([(1, 0, 3, "p")], "doc_id long, start int, end int, place_id string")
     one = rules.contribution(cands, "A", F.lit(2.0))
     assert rules.totals(cands, [one, one, rules.contribution(cands, "B", F.lit(1.0))]).first().score == 3.0
+
+
+@pytest.mark.parametrize("text", ["New York City, new york; York É ß Straße", "a\0b 😀 c", "", "x" * 300_000 + " y", "ab-cd " * 60_000, "İstanbul ǅ æon"])
+def test_words_in_numpy_are_those_of_the_expressions(spark, text):
+    want = value(spark, text, T.tokens)
+    of, start, end, _ = W.found([None, text])
+    assert [(int(s), int(e)) for s, e in zip(start, end)] == [(w.start, w.end) for w in want] and set(of.tolist()) <= {1}
+
+
+def test_both_ways_of_tagging_agree(spark, monkeypatch):
+    """The compiled dictionary and the joins, with all three treatments of overlaps."""
+    docs = spark.createDataFrame([(1, "New York City, new york; York STRASSE straße", "en"), (2, "北京 and 上海市 ok", "zh"), (3, None, "en"), (4, "", "en"), (5, "a b c d e f g", "en")], "doc_id long, text string, lang string")
+    names = [("New York", "en"), ("York City", "en"), ("york", "en"), ("Straße", "en"), ("上海", "zh"), ("b c d", "en"), ("d e", "en"), ("c d", "en"), ("a b", "en")]
+    words = tagger.phrases(spark.createDataFrame(names, "name string, lang string"), lang="lang")
+    columns = ("doc_id", "start", "end", "phrase", "text", "before", "after")
+    rows = lambda how: sorted(map(tuple, tagger.tag(docs, words, "lang", overlaps=how).select(*columns).collect()))
+    compiled = {how: rows(how) for how in ("all", "no_sub", "longest_dominant_right")}
+    monkeypatch.setattr(tagger, "COMPILED", 0)
+    assert {how: rows(how) for how in compiled} == compiled and len(compiled["all"]) > len(compiled["longest_dominant_right"]) > 3
+    assert [r[4] for r in compiled["all"] if r[0] == 2] == ["上海"]
+
+
+def test_coordinates_meet_places_across_bands(spark):
+    place = spark.createDataFrame([(1, 0, 4, "p", 10.0999, 5.0), (1, 9, 12, "q", 10.5, 5.0)], "doc_id int, start int, end int, place_id string, lat double, lon double")
+    coords = spark.createDataFrame([(1, 10.1601, 5.0), (1, 10.04, 5.0)], "doc_id int, lat double, lon double")
+    got = rules.coordinate_rule(place, coords).collect()
+    assert [r.place_id for r in got] == ["p"] and got[0].score == pytest.approx(5 * (10 - 6.66) / 10, abs=0.01)
+
+
+def test_stream_is_run(spark, tmp_path):
+    spark.createDataFrame([(1, "mail a.b@c.example")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    docs = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+    stream.by_batch(docs, lambda b: stream.life(b).select("doc_id", "rule"), str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert {r.rule for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"EMAIL"}
