@@ -1,9 +1,9 @@
 """Operator 8: scoring documents by the pseudo-likelihood of a masked language model.
 
 A bidirectional window network predicts every token from SIDE tokens on its left and SIDE on its
-right: per-place embeddings are summed into a hidden layer, and a two-level softmax (class, then
-token within the class) gives a proper probability. A document's score is the sum of the log-
-probabilities of all its tokens, each given both sides.
+right: per-place embeddings are summed into a hidden layer, and a three-level softmax (group of
+classes, class, token within the class) gives a proper probability. A document's score is the sum of
+the log-probabilities of all its tokens, each given both sides.
 
 Tokens are words. The most frequent of the corpus, about the square root of its number of tokens
 (FREQUENT at least), have ids of their own; the rest share hashed ids, and each is charged its own
@@ -50,6 +50,12 @@ RATE = 0.15
 FIRST = 1.0
 BATCH = 4096
 WORDS = 1 << 14
+#: Targets whose logits are held at once where they are only scored.
+AT_ONCE = 1024
+#: Stretches of up to so many rows are summed side by side.
+FEW = 8
+#: Rows of several classes that are multiplied together.
+PADDED = 160
 FAN_IN = 32
 #: Distinct words that a task holds before it passes on what it has counted.
 HELD = 400_000
@@ -85,18 +91,26 @@ class Vocabulary:
         return out
 
 
+def edges(classes: int, width: int) -> list[np.ndarray]:
+    """Of each level of the softmax, the bounds of the rows among which one is chosen: of the groups of classes, of the classes of a group, of the tokens of a class."""
+    n = -(-classes // math.isqrt(classes))
+    return [np.array([0, -(-classes // n)]), np.append(np.arange(0, classes, n), classes), np.arange(classes + 1) * width]
+
+
+LEVELS = ("group", "class", "token")
+
+
 def start(counts: np.ndarray, classes: int = CLASSES, seed: int = 3) -> dict[str, np.ndarray]:
-    """Small random weights, and biases at the log-frequencies of classes and of tokens within them. counts: of each id; the id after the last is the padding."""
+    """Small random weights, and biases (the last column) at the log-frequencies of groups, of classes within them, and of tokens within those. counts: of each id; the id after the last is the padding."""
     rng = np.random.default_rng(seed)
-    p = (counts + 0.5).astype(np.float64).reshape(classes, -1)
-    return {
-        "in": rng.normal(0, 0.1, (2 * SIDE, len(counts) + 1, HIDDEN)).astype(np.float32),
-        "in_bias": np.zeros(HIDDEN, np.float32),
-        "class": rng.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32),
-        "class_bias": np.log(p.sum(axis=1) / p.sum()).astype(np.float32),
-        "token": rng.normal(0, 0.1, (classes, HIDDEN, p.shape[1])).astype(np.float32),
-        "token_bias": np.log(p / p.sum(axis=1, keepdims=True)).astype(np.float32),
-    }
+    p = (counts + 0.5).astype(np.float64)
+    out = {"in": rng.normal(0, 0.1, (len(counts) + 1, 2 * SIDE * HIDDEN)).astype(np.float32), "in_bias": np.zeros(HIDDEN, np.float32)}
+    bounds = edges(classes, len(counts) // classes)
+    for name, at in zip(reversed(LEVELS), reversed(bounds)):
+        sums = np.add.reduceat(p, at[:-1])
+        out[name] = np.concatenate([rng.normal(0, 0.1, (len(p), HIDDEN)), np.log(p / np.repeat(sums, np.diff(at)))[:, None]], axis=1).astype(np.float32)
+        p = sums
+    return out
 
 
 def padded(ids: np.ndarray, offsets: np.ndarray, padding: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,78 +122,171 @@ def padded(ids: np.ndarray, offsets: np.ndarray, padding: int) -> tuple[np.ndarr
     return out, places
 
 
+SHIFTS = (*range(-SIDE, 0), *range(1, SIDE + 1))
+
+
 def contexts(seq: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-    return [seq[places + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))]
-
-
-def forward(w: dict[str, np.ndarray], around: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(log-probabilities, hidden, class probabilities, order by class, bounds of the classes, token probabilities in that order)."""
-    h = w["in"][0][around[0]]
-    for k in range(1, 2 * SIDE):
-        h += w["in"][k][around[k]]
-    h += w["in_bias"]
-    np.maximum(h, 0, out=h)
-    a = h @ w["class"]
-    a += w["class_bias"]
-    a -= a.max(axis=1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=1, keepdims=True)
-    classes, width = w["token_bias"].shape
-    c, t = np.divmod(target, width)
-    order = np.argsort(c.astype(np.uint16) if classes <= 1 << 16 else c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(classes + 1))
-    hs, b = h[order], np.empty((len(target), width), np.float32)
-    for k in np.flatnonzero(np.diff(bounds)):
-        lo, hi = bounds[k], bounds[k + 1]
-        np.matmul(hs[lo:hi], w["token"][k], out=b[lo:hi])
-        b[lo:hi] += w["token_bias"][k]
-    b -= b.max(axis=1, keepdims=True)
-    np.exp(b, out=b)
-    b /= b.sum(axis=1, keepdims=True)
-    i = np.arange(len(target))
-    log_p = np.log(np.maximum(a[i, c], 1e-30))
-    log_p[order] += np.log(np.maximum(b[i, t[order]], 1e-30))
-    return log_p, h, a, order, bounds, b
-
-
-def _add_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct indexes, the sum of the rows of each)."""
-    order = np.argsort(index, kind="stable")
-    at = np.flatnonzero(np.diff(index[order], prepend=-1))
-    return index[order][at], np.add.reduceat(rows[order], at, axis=0)
-
-
-def step(w: dict[str, np.ndarray], g: dict[str, np.ndarray], around: list[np.ndarray], target: np.ndarray, rate: float = RATE) -> float:
-    """One Adagrad step on a batch, in place; the mean log-probability before it. Gradients are summed, so that a rare token's step doesn't depend on the batch's size."""
-    log_p, h, a, order, bounds, b = forward(w, around, target)
-    n = len(target)
-    c, t = np.divmod(target, w["token_bias"].shape[1])
-    i = np.arange(n)
-    a[i, c] -= 1
-    b[i, t[order]] -= 1
-    dh = a @ w["class"].T
-    grads = {"class": h.T @ a, "class_bias": a.sum(axis=0)}
-    hs, ds = h[order], np.empty_like(h)
-    for k in np.flatnonzero(np.diff(bounds)):
-        part = slice(bounds[k], bounds[k + 1])
-        np.matmul(b[part], w["token"][k].T, out=ds[part])
-        for name, grad in (("token", hs[part].T @ b[part]), ("token_bias", b[part].sum(axis=0))):
-            g[name][k] += grad**2
-            w[name][k] -= rate * grad / np.sqrt(g[name][k])
-    dh[order] += ds
-    dh[h <= 0] = 0
-    grads["in_bias"] = dh.sum(axis=0)
-    for name, grad in grads.items():
-        g[name] += grad**2
-        w[name] -= rate * grad / np.sqrt(g[name])
-    for k in range(2 * SIDE):
-        u, rows = _add_rows(around[k], dh)
-        acc = g["in"][k]
-        acc[u] += rows**2
-        w["in"][k][u] -= rate * rows / np.sqrt(acc[u])
-    return float(log_p.mean())
+    return [seq[places + d] for d in SHIFTS]
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0 on, by one sort of numbers that have their places in their low bits."""
+    bits = len(keys).bit_length()
+    both = keys.astype(np.int64) << bits
+    both |= np.arange(len(keys))
+    both.sort()
+    both &= (1 << bits) - 1
+    return both
+
+
+def activated(total: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """The hidden layer from the summed embeddings, with a column of ones for the biases."""
+    out = np.ones((len(total), HIDDEN + 1), np.float32)
+    np.maximum(total + w["in_bias"], 0, out=out[:, :-1])
+    return out
+
+
+def hidden(w: dict[str, np.ndarray], seq: np.ndarray, places: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The hidden layer of ascending places, put in order: each id of the stretch is looked up once, for all the places that it is around."""
+    lo = places[0] - SIDE
+    e = w["in"][seq[lo : places[-1] + SIDE + 1]]
+    n = len(e) - 2 * SIDE
+    total = np.zeros((n, HIDDEN), np.float32)
+    for k, d in enumerate(SHIFTS):
+        total += e[SIDE + d : SIDE + d + n, k * HIDDEN : (k + 1) * HIDDEN]
+    return activated(total[(places - places[0])[order]], w)
+
+
+def targets(w: dict[str, np.ndarray], target: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(level, row of each target, bounds of the level's choices) of sorted targets."""
+    classes = len(w["class"])
+    bounds = edges(classes, len(w["token"]) // classes)
+    c = target // (len(w["token"]) // classes)
+    yield from zip(LEVELS, (c // bounds[1][1], c, target), bounds)
+
+
+def exponentials(h: np.ndarray, w: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """exp of the logits of each row of w, up to a factor for each row of h; total: gets their sums. Matrices, or as many of both."""
+    w = w.swapaxes(-1, -2)
+    x = np.matmul(h, w)
+    np.exp(x, out=x)
+    np.matmul(x, np.ones(x.shape[-1], np.float32), out=total)
+    if not 1e-30 < np.minimum.reduce(total, axis=None) <= np.maximum.reduce(total, axis=None) < 1e30:
+        x = np.matmul(h, w)
+        x -= x.max(axis=-1, keepdims=True)
+        np.exp(x, out=x)
+        x.sum(axis=-1, out=total)
+    return x
+
+
+def log_probabilities(w: dict[str, np.ndarray], hs: np.ndarray, target: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of each target; hs: the hidden layer in the order of the targets."""
+    total, own = np.empty(len(hs), np.float32), np.empty(len(hs), np.float32)
+    log_p, i = np.zeros(len(hs), np.float32), np.arange(AT_ONCE)
+    for name, row, bounds in targets(w, target[order]):
+        cuts = np.searchsorted(row, bounds)
+        for k in np.flatnonzero(np.diff(cuts)):
+            rows = w[name][bounds[k] : bounds[k + 1]]
+            for lo in range(cuts[k], cuts[k + 1], AT_ONCE):
+                part = slice(lo, min(lo + AT_ONCE, cuts[k + 1]))
+                x = exponentials(hs[part], rows, total[part])
+                own[part] = x[i[: len(x)], row[part] - bounds[k]]
+        log_p += np.log(np.maximum(own / total, 1e-30))
+    out = np.empty_like(log_p)
+    out[order] = log_p
+    return out
+
+
+@np.errstate(over="ignore")
+def forward(w: dict[str, np.ndarray], around: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probabilities, hidden layer)."""
+    h = activated(sum(w["in"][ids, k * HIDDEN : (k + 1) * HIDDEN] for k, ids in enumerate(around)), w)
+    order = order_of(target)
+    return log_probabilities(w, h[order], target, order), h
+
+
+def adagrad(w: np.ndarray, g: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    """In place, on the grad too."""
+    x = grad * grad
+    g += x
+    np.sqrt(g, out=x)
+    grad /= x
+    grad *= rate
+    w -= grad
+
+
+def sums(rows: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the rows in order, the sum of each stretch that begins at at. (reduceat would go column by column.)"""
+    n = np.diff(at, append=len(order))
+    out = rows[order[at]]
+    for k in range(1, FEW):
+        some = np.flatnonzero((n > k) & (n <= FEW))
+        out[some] += rows[order[at[some] + k]]
+    for j in np.flatnonzero(n > FEW):
+        rows[order[at[j] : at[j] + n[j]]].sum(axis=0, out=out[j])
+    return out
 
 
+def runs(cuts: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of choices that have targets (those from cuts[k] to cuts[k + 1]). Neighbours of one width with few targets go together, padded to the most that one of them has, at most PADDED rows in all."""
+    n, width, at = np.diff(cuts).tolist(), np.diff(bounds).tolist(), 0
+    while at < len(n):
+        lo, most = at, n[at]
+        at += 1
+        while at < len(n) and width[at] == width[lo] and max(most, n[at]) * (at + 1 - lo) <= PADDED:
+            most = max(most, n[at])
+            at += 1
+        if most:
+            yield lo, at
+
+
+def step(w: dict[str, np.ndarray], g: dict[str, np.ndarray], seq: np.ndarray, places: np.ndarray, rate: float = RATE) -> None:
+    """One Adagrad step on the targets at ascending places, in place. Gradients are summed, so that a rare token's step doesn't depend on the batch's size."""
+    order = order_of(seq[places])
+    target = seq[places][order]
+    hs = hidden(w, seq, places, order)
+    back, dh = np.empty_like(hs), np.zeros_like(hs)
+    for name, row, bounds in targets(w, target):
+        cuts = np.searchsorted(row, bounds)
+        for lo, hi in runs(cuts, bounds):
+            part, rows, width = slice(cuts[lo], cuts[hi]), slice(bounds[lo], bounds[hi]), bounds[lo + 1] - bounds[lo]
+            n, r = hi - lo, row[part] - bounds[lo]
+            m = int(np.diff(cuts[lo : hi + 1]).max())
+            if n > 1:
+                which = r // width
+                slot = np.arange(m * n)[: len(r)] + (which * m - (cuts[lo:hi] - cuts[lo])[which])
+                h = np.zeros((n * m, HIDDEN + 1), np.float32)
+                h[slot] = hs[part]
+                place = slot * width + (r - which * width)
+            else:
+                slot, h = slice(None), hs[part]
+                place = np.arange(0, m * width, width) + r
+            h = h.reshape(n, m, -1)
+            v, s = w[name][rows].reshape(n, width, -1), np.empty((n, m), np.float32)
+            x = exponentials(h, v, s)
+            x.reshape(-1)[place] -= s.reshape(-1)[slot]
+            s = s[:, :, None]
+            back[part] = (np.matmul(x, v) / s).reshape(n * m, -1)[slot]
+            adagrad(v, g[name][rows].reshape(v.shape), np.matmul(x.transpose(0, 2, 1), h / s), rate)
+        dh += back
+    dh = dh[:, :-1] * (hs[:, :-1] > 0)
+    adagrad(w["in_bias"], g["in_bias"], dh.sum(axis=0), rate)
+    # Beside each id of the stretch, the gradients of the places that it is around.
+    lo = places[0] - SIDE
+    around = seq[lo : places[-1] + SIDE + 1]
+    wide = np.zeros((len(around) + 2 * SIDE, HIDDEN), np.float32)
+    wide[places[order] - lo + SIDE] = dh
+    beside = np.concatenate([wide[SIDE - d : SIDE - d + len(around)] for d in SHIFTS], axis=1)
+    order = order_of(around)
+    ids = around[order]
+    at = np.flatnonzero(np.diff(ids, prepend=-1))
+    u = ids[at]
+    some, acc = w["in"][u], g["in"][u]
+    adagrad(some, acc, sums(beside, order, at), rate)
+    w["in"][u], g["in"][u] = some, acc
+
+
+@np.errstate(over="ignore")
 def train(w: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray]], batch_targets: int = BATCH, touched: Touched | None = None) -> int:
     """Train w in place on (ids, offsets) batches, every token a target; the number of targets."""
     g = {k: np.full_like(v, FIRST) for k, v in w.items()}
@@ -187,27 +294,27 @@ def train(w: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarr
     for ids, offsets in batches:
         for lo, hi in kernel.blocks(offsets, WORDS):
             part = offsets[lo : hi + 1]
-            seq, places = padded(ids, part, w["in"].shape[1] - 1)
+            seq, places = padded(ids, part, len(w["in"]) - 1)
             for at in range(0, len(places), batch_targets):
-                some = places[at : at + batch_targets]
-                around, target = contexts(seq, some), seq[some]
-                step(w, g, around, target)
-                seen += len(some)
-                if touched is not None:
-                    touched.add(around, target)
+                step(w, g, seq, places[at : at + batch_targets])
+            seen += len(places)
+            if touched is not None:
+                touched.add(contexts(seq, places), seq[places])
     return seen
 
 
+@np.errstate(over="ignore")
 def score(w: dict[str, np.ndarray], ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Summed log-probability of each document."""
     out = np.zeros(len(offsets) - 1)
     for lo, hi in kernel.blocks(offsets, WORDS):
         part = offsets[lo : hi + 1]
-        seq, places = padded(ids, part, w["in"].shape[1] - 1)
+        seq, places = padded(ids, part, len(w["in"]) - 1)
         log_p = np.empty(len(places), np.float32)
         for at in range(0, len(places), WORDS):  # a document longer than a block goes through in slices of its places
             some = places[at : at + WORDS]
-            log_p[at : at + WORDS] = forward(w, contexts(seq, some), seq[some])[0]
+            order = order_of(target := seq[some])
+            log_p[at : at + WORDS] = log_probabilities(w, hidden(w, seq, some, order), target, order)
         total = np.append(0, np.cumsum(log_p, dtype=np.float64))
         out[lo:hi] = np.diff(total[part - part[0]])
     return out
@@ -272,8 +379,8 @@ def encoded(docs: DataFrame, words: np.ndarray, frequent: int) -> DataFrame:
 
 
 def matrices(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The weights as matrices whose rows are trained together: a context token at one place, a class, or all of a layer."""
-    return {"in": w["in"].reshape(-1, HIDDEN), "token": w["token"].reshape(len(w["token"]), -1), "token_bias": w["token_bias"]} | {k: w[k].reshape(1, -1) for k in ("in_bias", "class", "class_bias")}
+    """The weights as matrices whose rows are trained together: a context token at one place, the tokens of a class, a class, or all of a layer."""
+    return {"in": w["in"].reshape(-1, HIDDEN), "token": w["token"].reshape(len(w["class"]), -1), "class": w["class"]} | {k: w[k].reshape(1, -1) for k in ("in_bias", "group")}
 
 
 def pieces(w: dict[str, np.ndarray]) -> list[tuple[str, str, int, int]]:
@@ -290,15 +397,16 @@ class Touched:
 
     def __init__(self, w: dict[str, np.ndarray]):
         self.n = {k: np.zeros(len(x)) for k, x in matrices(w).items()}
-        self.size, self.width = w["in"].shape[1], w["token_bias"].shape[1]
+        self.size, self.width = len(w["in"]), len(w["token"]) // len(w["class"])
+        self.bounds = edges(len(w["class"]), self.width)[1]
 
     def add(self, around: list[np.ndarray], target: np.ndarray) -> None:
         for k, ids in enumerate(around):
-            self.n["in"][k * self.size : (k + 1) * self.size] += np.bincount(ids, minlength=self.size)
+            self.n["in"][k :: 2 * SIDE] += np.bincount(ids, minlength=self.size)
         classes = np.bincount(target // self.width, minlength=len(self.n["token"]))
         self.n["token"] += classes
-        self.n["token_bias"] += classes
-        for k in ("in_bias", "class", "class_bias"):
+        self.n["class"] += np.repeat(np.add.reduceat(classes, self.bounds[:-1]), np.diff(self.bounds))  # a class is trained wherever its group is met
+        for k in ("in_bias", "group"):
             self.n[k] += len(target)
 
 

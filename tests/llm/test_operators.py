@@ -492,6 +492,58 @@ def test_lm_words_of_a_shared_id_have_probabilities_of_their_own(spark):
         assert classes * width - lm.HASHED >= np.sqrt(tokens) - 1 and abs(classes - width) < 64
 
 
+
+def test_lm_work_for_a_token(monkeypatch):
+    """Of the model of a corpus of 10^8 tokens, exponentials for each target: fewer than those of all classes and of all tokens of one."""
+    classes, width = lm.shape(10**8)
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.2, 20_000), classes * width).astype(np.int32) - 1
+    w = lm.start(np.bincount(ids, minlength=classes * width), classes)
+    count, exp = [0], np.exp
+
+    def counted(x, *a, **k):
+        count[0] += x.size
+        return exp(x, *a, **k)
+
+    monkeypatch.setattr(np, "exp", counted)
+    offsets = np.arange(0, len(ids) + 1, 500)
+    lm.train(w, iter([(ids, offsets)]))
+    assert count[0] < 0.9 * len(ids) * (classes + width)
+    count[0] = 0
+    lm.score(w, ids, offsets)
+    assert count[0] < 0.7 * len(ids) * (classes + width)
+
+
+def test_lm_gradients_against_differences():
+    rng = np.random.default_rng(2)
+    seq, places = lm.padded(rng.integers(0, 300, 400).astype(np.int32), np.array([0, 0, 150, 151, 400]), lm.SIZE)
+    w = lm.start(np.bincount(seq[places], minlength=lm.SIZE))
+    w["in_bias"][::2], w["in_bias"][1::2] = 2, -2  # on or off, not near the bend
+    new, g = {k: v.copy() for k, v in w.items()}, {k: np.full_like(v, lm.FIRST) for k, v in w.items()}
+    lm.step(new, g, seq, places)
+
+    def total(changed):
+        return lm.forward(changed, lm.contexts(seq, places), seq[places])[0].sum(dtype=np.float64)
+
+    for name in w:
+        d = (new[name].astype(np.float64) - w[name]).reshape(-1) / lm.RATE
+        got = d / np.sqrt(1 - d**2) * np.sqrt(lm.FIRST)  # the step undone
+        for i in np.argsort(-np.abs(got))[[0, 1, 5, 20]]:
+            ends = []
+            for e in (-0.001, 0.001):
+                moved = {k: v.copy() for k, v in w.items()}
+                moved[name].reshape(-1)[i] += e
+                ends.append(total(moved))
+            assert got[i] == pytest.approx((ends[1] - ends[0]) / 0.002, rel=0.02, abs=0.02), (name, i)
+
+
+def test_lm_exponentials_of_any_size():
+    h, v, s = np.array([[1, 1], [300, 1], [-300, 1]], np.float32), np.array([[1, 0], [0.5, -200]], np.float32), np.empty(3, np.float32)
+    with np.errstate(over="ignore"):
+        x = lm.exponentials(h, v, s)
+    assert (x / s[:, None])[:, 0] == pytest.approx([1, 1, 1], abs=1e-6)
+
+
 # 9
 def test_top_k_odd_and_ties(spark, odd, empty):
     q = spark.createDataFrame([(1, "one two"), (1, "one two"), (2, None), (3, ""), (None, "one"), (4, "zzz")], "item_id long, text string")
