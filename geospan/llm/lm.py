@@ -35,6 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -361,8 +362,24 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, DataFrame]
     return hashes, counts, classes, table
 
 
+def kind(size: int) -> np.dtype:
+    """That ids of a model of so many are kept in."""
+    return np.dtype(np.uint16 if size <= 1 << 16 else np.int32)
+
+
+def packed(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The ids of each document as bytes, which move without a look at each."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * ids.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+def unpacked(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets)."""
+    ids = np.frombuffer(b"".join(column.to_pylist()), dtype)
+    return ids, np.append(0, np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))) // dtype.itemsize
+
+
 def encoded(docs: DataFrame, words: np.ndarray, frequent: int) -> DataFrame:
-    """doc_id, ids (of all words), rare (hashes of the words that share ids), and for the training shard_hash, round, place: all by hashes of the row."""
+    """row (a number of its own), doc_id, ids (of all words, as bytes), rare (hashes of the words that share ids), and for the training round, place: both by hashes of the row."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("place"))
 
@@ -370,11 +387,12 @@ def encoded(docs: DataFrame, words: np.ndarray, frequent: int) -> DataFrame:
         found, offsets, _ = kernel.words(kernel.strings(batch.column(1)))
         ids = Vocabulary(shared.value, frequent).ids(found)
         rare = ids >= frequent
-        own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+        own = packed(ids.astype(kind(frequent + HASHED)), offsets)
         others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rare))[offsets], pa.int32()), pa.array(found[rare].view(np.int64)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), own, others], names=["doc_id", "place", "ids", "rare"])
 
-    out = rows.mapInArrow(kernel.mapped(run, 1000), "doc_id long, place long, ids array<int>, rare array<long>")
+    out = rows.mapInArrow(kernel.mapped(run, 1000), "doc_id long, place long, ids binary, rare array<long>")
+    out = out.withColumn("row", F.monotonically_increasing_id())
     return scratch.materialise(out.withColumn("round", F.pmod(F.xxhash64(F.lit("round"), "place"), F.lit(ROUNDS)).cast("int")), "encoded")
 
 
@@ -445,7 +463,7 @@ def a_round(texts: DataFrame, w0: dict[str, np.ndarray], shards: int) -> dict[st
     layout of the files changes what is learnt.
     """
     shared = texts.sparkSession.sparkContext.broadcast(w0)
-    names = pieces(w0)
+    names, dtype = pieces(w0), kind(len(w0["token"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = {k: x.copy() for k, x in shared.value.items()}
@@ -454,9 +472,9 @@ def a_round(texts: DataFrame, w0: dict[str, np.ndarray], shards: int) -> dict[st
         def read() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             nonlocal shard
             for batch in batches:
-                shard = batch.column(0)[0].as_py() if batch.num_rows else shard
-                lists = batch.column(1)
-                yield lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+                if batch.num_rows:
+                    shard = batch.column(0)[0].as_py()
+                    yield unpacked(batch.column(1), dtype)
 
         train(w, read(), touched=touched)
         if shard is not None:
@@ -469,7 +487,7 @@ def a_round(texts: DataFrame, w0: dict[str, np.ndarray], shards: int) -> dict[st
 
     spread = texts.select(F.pmod(F.xxhash64(F.lit("shard"), "place"), F.lit(shards)).cast("int").alias("shard"), "ids", "place")
     spread = spread.repartitionById(shards, "shard").sortWithinPartitions("place").select("shard", "ids")
-    found = averaged(scratch.materialise(spread.mapInArrow(run, _PARTS), "trained"), shards)
+    found = averaged(spread.mapInArrow(run, _PARTS), shards)
     out = {k: x.copy() for k, x in w0.items()}
     whole = matrices(out)  # views of out
     for name, k, lo, hi in names:
@@ -496,7 +514,7 @@ def fit(docs: DataFrame) -> Model:
     shards = -(-int(counts.sum()) // (TOKENS_PER_ID * len(counts) * ROUNDS))
     if shards:
         for k in range(ROUNDS):
-            w = a_round(texts.where((F.col("round") == k) & (F.size("ids") > 0)), w, shards)
+            w = a_round(texts.where((F.col("round") == k) & (F.length("ids") > 0)), w, shards)
     return Model(hashes, counts, w, table, texts)
 
 
@@ -507,21 +525,18 @@ def score_texts(model: Model) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, w = shared.value
-        frequent = len(counts) - HASHED
-        lists = batch.column(1)
-        ids, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-        rare = ids >= frequent
+        ids, offsets = unpacked(batch.column(2), kind(len(counts)))
+        rare = ids >= len(counts) - HASHED
         at = np.append(0, np.cumsum(rare))[offsets]
         # log(n(word) / (n(id) + 1)): the divisor here, n(word) where the word meets its count.
         part = np.append(0, np.cumsum(np.log(counts[ids[rare]] + 1.0)))
         total = score(w, ids, offsets) - np.diff(part[at])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(total), batch.column(2)], names=["doc_id", "n_tokens", "total", "rare"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(total)], names=["row", "doc_id", "n_tokens", "total"])
 
-    parts = texts.select("doc_id", "ids", "rare").mapInArrow(kernel.mapped(run, 1000), "doc_id long, n_tokens long, total double, rare array<long>")
-    parts = scratch.materialise(parts.withColumn("row", F.monotonically_increasing_id()), "scored")
+    parts = texts.select("row", "doc_id", "ids").mapInArrow(kernel.mapped(run, 1000), "row long, doc_id long, n_tokens long, total double")
     # A word counted once, or never, adds log 1.
-    known = parts.select("row", F.explode("rare").alias("word")).join(model.table.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
-    out = parts.drop("rare").join(known, "row", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("more", F.lit(0.0)))
+    known = texts.select("row", F.explode("rare").alias("word")).join(model.table.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    out = parts.join(known, "row", "left").withColumn("log_likelihood", F.col("total") + F.coalesce("more", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 

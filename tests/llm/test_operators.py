@@ -544,6 +544,21 @@ def test_lm_exponentials_of_any_size():
     assert (x / s[:, None])[:, 0] == pytest.approx([1, 1, 1], abs=1e-6)
 
 
+def test_lm_writes_ids_once(spark, real, monkeypatch):
+    """Two or four bytes for each id, and neither copies of the network nor the rare words a second time on disk."""
+    names, write = [], scratch.materialise
+    monkeypatch.setattr(scratch, "materialise", lambda df, name: names.append(name) or write(df, name))
+    model = lm.fit(real)
+    want = {(r.doc_id, r.n_tokens) for r in lm.score_texts(model).collect()}
+    assert sorted(names) == ["encoded", "word-counts"]
+    assert {(r.doc_id, r.n // lm.kind(len(model.counts)).itemsize) for r in model.texts.select("doc_id", F.length("ids").alias("n")).collect()} == want
+    assert (lm.kind(1 << 16), lm.kind((1 << 16) + 1)) == (np.uint16, np.int32)
+    for dtype in (np.uint16, np.int32):
+        ids, offsets = np.array([7, 65535, 0], dtype), np.array([0, 0, 2, 2, 3])
+        got = lm.unpacked(lm.packed(ids, offsets), np.dtype(dtype))
+        assert got[0].tolist() == ids.tolist() and got[1].tolist() == offsets.tolist()
+
+
 # 9
 def test_top_k_odd_and_ties(spark, odd, empty):
     q = spark.createDataFrame([(1, "one two"), (1, "one two"), (2, None), (3, ""), (None, "one"), (4, "zzz")], "item_id long, text string")
