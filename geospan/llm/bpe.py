@@ -21,7 +21,7 @@ import heapq
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 KEPT_WORDS = 300_000
 KEPT_PAIRS = 2_000_000
 _TABLE = 1 << 20
+_TOKENS = "doc_id long, tokens array<int>, n_tokens int"
 
 
 def load(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -446,55 +447,68 @@ def _text_slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordB
         yield batch.slice(at, rows)
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, tokens (array<int>), n_tokens."""
-    shared = _shared(docs.sparkSession, path)
+def _encoded(codec: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
+    """doc_id, tokens, n_tokens from doc_id, text."""
+    none = part.column(1).is_null().to_numpy(zero_copy_only=False)
+    tokens, offsets = codec.encode(kernel.strings(part.column(1)))
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int32()), mask=pa.array(none))
+    return pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets), pa.int32(), mask=none)], names=["doc_id", "tokens", "n_tokens"])
+
+
+def _decoded(codec: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
+    """doc_id, tokens, n_tokens, and the text that the tokens say."""
+    lists = part.column(1)
+    none = lists.is_null().to_numpy(zero_copy_only=False)
+    sizes = np.where(none, 0, np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    data, ends = codec.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(sizes)))
+    raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    try:
+        text = raw.cast(pa.string())
+    except pa.ArrowInvalid:  # tokens of another origin can end within a character
+        text = pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
+    text = pa.compute.if_else(pa.array(~none), text, pa.scalar(None, pa.string())) if none.any() else text
+    return pa.RecordBatch.from_arrays([*part.columns, text], names=["doc_id", "tokens", "n_tokens", "text"])
+
+
+def _mapped(rows: DataFrame, path: str, schema: str, *steps: Callable[[Codec, pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """rows with the steps applied one after another to slices of them, all in the same Python worker and with the same codec."""
+    shared = _shared(rows.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _local(shared)
         for batch in batches:
             for part in _text_slices(batch):
-                none = part.column(1).is_null().to_numpy(zero_copy_only=False)
-                tokens, offsets = codec.encode(kernel.strings(part.column(1)))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int32()), mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets), pa.int32(), mask=none)], names=["doc_id", "tokens", "n_tokens"])
+                for step in steps:
+                    part = step(codec, part)
+                yield part
         kernel.trimmed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<int>, n_tokens int")
+    return rows.mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """doc_id, tokens (array<int>), n_tokens."""
+    return _mapped(docs.select("doc_id", "text"), path, _TOKENS, _encoded)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """encoded (doc_id, tokens, n_tokens) with the text decoded from the tokens appended."""
-    shared = _shared(encoded.sparkSession, path)
+    return _mapped(encoded.select("doc_id", "tokens", "n_tokens"), path, f"{_TOKENS}, text string", _decoded)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _local(shared)
-        for batch in batches:
-            for part in _text_slices(batch):
-                lists = part.column(1)
-                none = lists.is_null().to_numpy(zero_copy_only=False)
-                sizes = np.where(none, 0, np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
-                data, ends = codec.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(sizes)))
-                raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-                try:
-                    text = raw.cast(pa.string())
-                except pa.ArrowInvalid:  # tokens of another origin can end within a character
-                    text = pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
-                text = pa.compute.if_else(pa.array(~none), text, pa.scalar(None, pa.string())) if none.any() else text
-                yield pa.RecordBatch.from_arrays([*part.columns, text], names=["doc_id", "tokens", "n_tokens", "text"])
-        kernel.trimmed()
 
-    return encoded.select("doc_id", "tokens", "n_tokens").mapInArrow(run, "doc_id long, tokens array<int>, n_tokens int, text string")
+def there_and_back(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """decode(encode(docs)) in one step: two would keep a second Python worker, with a codec of its own, for each core."""
+    return _mapped(docs.select("doc_id", "text"), path, f"{_TOKENS}, text string", _encoded, _decoded)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again from its tokens."""
-    return decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return there_and_back(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, tokens, n_tokens, and the text decoded from the tokens, which can be held against the one that came in."""
-    return decode(encode(docs))
+    return there_and_back(docs)
 
 
 QUERIES = {"op6_bpe": op6_bpe}

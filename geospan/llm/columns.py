@@ -1,16 +1,21 @@
-"""New columns beside a table's own ones, by position: whatever names the table has, none is mixed up, replaced or lost."""
+"""New columns beside a table's own ones, by position: whatever names the table has, none is mixed up, replaced or lost. Also small tables of the driver's own."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
 
 
+def local(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A small table. From Arrow, since rows given as tuples are unpickled by executors, which start a second set of Python workers for it."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """The same columns, called c0, c1, ..."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -145,7 +145,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     ids = near.sort_values(["lang", "u", "doc_id"]).groupby("lang").head(rows)
     if ids.empty:
         return None
-    chosen = spark.createDataFrame([(int(i), x) for i, x in zip(ids.doc_id, ids.lang)], "doc_id long, label string")
+    chosen = columns.local(spark, doc_id=pa.array(ids.doc_id, pa.int64()), label=pa.array(ids.lang, pa.string()))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("label", "doc_id").agg(F.min("text").alias("text"))
     got = texts.toPandas().sort_values(["label", "doc_id"])  # at most rows x languages
     model = train([t or "" for t in got.text], got.label.tolist())

@@ -281,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
     if ids.label.nunique() < 2:  # too few to hold any out
         near = known.withColumn("u", u("toxicity")).where(F.col("u") < share).toPandas()
         ids = near.sort_values(["u", "doc_id"]).groupby("label").head(rows)
-    chosen = spark.createDataFrame([(int(i), int(t)) for i, t in zip(ids.doc_id, ids.label)], "doc_id long, label int")
+    chosen = columns.local(spark, doc_id=pa.array(ids.doc_id, pa.int64()), label=pa.array(ids.label, pa.int32()))
     # Rows that repeat an id are cut to one before they are sent, so at most 2 x rows texts come.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     got = texts.toPandas().sort_values("doc_id")

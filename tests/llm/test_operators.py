@@ -378,6 +378,27 @@ def test_bpe_equals_public_tokenizer_and_decodes(spark, real, odd, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_there_and_back_in_one_python_step(spark, odd, empty):
+    """As decode(encode()), but no task holds two workers."""
+    key = lambda df: sorted(map(str, df.collect()))
+    both = bpe.there_and_back(odd)
+    assert key(both) == key(bpe.decode(bpe.encode(odd))) and both.schema == bpe.decode(bpe.encode(odd)).schema
+    assert bpe.there_and_back(empty).count() == 0
+    for df in (bpe.stage(spark, odd, SF), bpe.op6_bpe(spark, SF)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_fits_send_their_samples_without_python_rows(spark, real, monkeypatch):
+    """Rows given as tuples go through parallelize() and a second set of Python workers beside that of the batches."""
+
+    def parallelize(*_, **__):
+        raise AssertionError("a table of tuples")
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", parallelize)
+    assert langid.fit(real) is not None and toxicity.fit(real, labels) is not None
+
+
 # 7
 def test_mixing_counts_and_order(spark, odd, empty):
     docs = docs_of(spark, [(i, "x" * 10, "en", "a" if i % 4 else "b") for i in range(4000)])
