@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from . import filters
-from .rules import KEY, SPAN
+from .rules import KEY, SPAN, relations
 
 GAP = 20
 
@@ -21,9 +21,12 @@ def pairs(post: DataFrame, admin: DataFrame, gap: int = GAP) -> DataFrame:
     """A code and a place of the same country before or after it, with only words, blanks, stops and commas between: keys of both, slot, boundary, score.
 
     slot: city, admin or country. Same province 5, same country 2. post and admin have the text after them.
+    A code within a longer name ('Customer 12345') is part of that name.
     """
     a = admin.where(F.col("feat_class").isin("A", "P") & ~C.is_postal(F.col("feat_code"))).select("doc_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("place_id").alias("a_id"), F.col("name").alias("a_name"), F.col("cc").alias("cc"), F.col("adm1").alias("a_adm1"), F.col("feat_class").alias("a_class"), F.col("feat_code").alias("a_code"), F.col("after").alias("a_after"))
-    both = post.join(a, ["doc_id", "cc"])
+    names = a.select("doc_id", F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col("a_after").alias("after")).distinct()
+    inner = relations(post, names).where("relation = 'within'").select(*SPAN).distinct()
+    both = post.join(inner, [*SPAN], "left_anti").join(a, ["doc_id", "cc"])
     right, left = F.col("start") - F.col("a_end"), F.col("a_start") - F.col("end")
     between = F.when(right >= 0, F.substring(F.col("a_after"), F.lit(1), right)).otherwise(F.substring(F.col("after"), F.lit(1), left))
     near = both.where((right.between(0, gap) | left.between(0, gap)) & between.rlike(r"^[\w\s,.]*$"))

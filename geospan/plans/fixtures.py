@@ -157,10 +157,10 @@ spoken(cc, lang, s) AS (VALUES ('R0', 'en', 3), ('R0', 'fr', 2), ('R1', 'es', 3)
 
 
 def postal_gazetteer(spark: SparkSession, d: str) -> DataFrame:
-    """A code of five digits for each customer, in its country and province."""
+    """A code of five digits, or more for large keys, for each customer, in its country and province."""
     n = nations(spark, d)
     cus = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nk")).join(n, "nk")
-    code = F.lpad((F.col("k") + 10000).cast("string"), 5, "0")
+    code = (F.col("k") + 10000).cast("string")
     rows = cus.select(F.concat_ws("/", "cc", "adm1", code).alias("place_id"), code.alias("name"), F.lit("C").alias("name_type"), "cc", "adm1", F.lit("A").alias("feat_class"), F.lit("POST").alias("feat_code"), *_point(F.col("k")), F.lit(0).alias("id_bias"))
     return tagger.phrases(rows)
 

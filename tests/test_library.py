@@ -8,6 +8,7 @@ from geospan.functions import geo as G
 from geospan.functions import text as T
 from geospan.functions import words as W
 from geospan.operators import etl, filters, lookup, patterns, postal, rules, tagger
+from geospan.plans import fixtures as X
 from geospan.sources import readers, sinks
 from geospan.streaming import stream
 
@@ -110,6 +111,21 @@ def test_nearest_places_are_those_of_all_pairs_and_grow_with_the_spots(spark):
     assert few.count() <= 4 * 6 * 25 < len(pairs)
 
 
+def test_postal_codes_of_large_keys_are_whole(spark, tmp_path):
+    spark.createDataFrame([(7, 1), (95_000, 1), (1_234_567, 1)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, "NATION_01", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    names = {r.name for r in X.postal_gazetteer(spark, str(tmp_path)).collect()}
+    assert names == {"10007", "105000", "1244567"} == {r.text.split()[-1] for r in X.postal_texts(spark, str(tmp_path)).collect()}
+
+
+def test_a_code_within_a_name_is_no_code(spark):
+    """'Customer 12345, N 22345': of another province of the country, 12345 would take N for its own."""
+    columns = "doc_id long, start int, end int, text string, after string, place_id string, name string, cc string, adm1 string, feat_class string, feat_code string"
+    post = spark.createDataFrame([(1, 9, 14, "12345", ", N 22345", "R0/02/12345", "12345", "R0", "02", "A", "POST"), (1, 18, 23, "22345", "", "R0/01/22345", "22345", "R0", "01", "A", "POST")], columns)
+    names = spark.createDataFrame([(1, 0, 14, "Customer 12345", ", N 22345", "C", "Customer 12345", "R0", "01", "P", "PPL"), (1, 16, 17, "N", " 22345", "N", "N", "R0", "01", "A", "ADM1")], columns)
+    assert [(r.text, r.c_start, r.c_end, r.links) for r in postal.linked(postal.pairs(post, names)).collect()] == [("22345", 0, 23, 2)]
+
+
 def test_codes(spark):
     assert value(spark, "us.06", C.admin_code) == "06" and value(spark, "6", C.admin_code) == "06"
     assert value(spark, "en-US", C.primary_language) == "en" and value(spark, "xx", C.countries_speaking) is None
