@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 from .text import CJK_LANGS, FOLD_FROM, FOLD_TO, PAIRS
 
@@ -96,8 +97,8 @@ def _chain(first: np.ndarray, following: np.ndarray) -> np.ndarray:
     return _mix(first * np.uint64(0x9FB21C651E98DF25) + following)
 
 
-def found(texts: Sequence[str | None], langs: Sequence[str | None] | None = None, hashes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """(text, start, end, hash) of all words, in order. Texts are put together into blocks; one that is longer makes its own."""
+def found(texts: Sequence[str | None], langs: Sequence[str | None] | None = None, hashes: bool = True, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(text, start, end, hash) of all words, in order. Texts are put together into blocks; one that is longer makes its own. fold: words are hashed as folded."""
     t = tables()
     out: list[tuple] = []
     group: list[int] = []
@@ -122,10 +123,10 @@ def found(texts: Sequence[str | None], langs: Sequence[str | None] | None = None
         h = None
         if hashes:
             power, inverse = _usual() if len(codes) < 4 * _BLOCK else _powers(len(codes) + 1)
-            total = np.cumsum(_values(t.fold[codes]) * power[: len(codes)])
+            total = np.cumsum(_values(t.fold[codes] if fold else codes) * power[: len(codes)])
             h = _mix((total[ends - 1] - total[starts - 1]) * inverse[starts])
             odd = np.append(0, np.cumsum(t.odd[codes]))
-            for k in np.flatnonzero(odd[ends] > odd[starts]):  # two-letter foldings
+            for k in np.flatnonzero(odd[ends] > odd[starts]) if fold else ():  # two-letter foldings
                 h[k] = hash_of(folded(s[starts[k] : ends[k]]))
         out.append((np.array(group)[of], (starts - at[of]).astype(np.int32), (ends - at[of]).astype(np.int32), h))
 
@@ -144,20 +145,48 @@ def found(texts: Sequence[str | None], langs: Sequence[str | None] | None = None
     return tuple(np.concatenate([o[k] for o in out]) if out[0][k] is not None else None for k in range(4))
 
 
+def hashed(phrases: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index, number of words, hash of the first word, hash) of the phrases that can occur: words joined by single blanks."""
+    of, start, end, h = found(phrases, fold=False)
+    n = np.bincount(of, minlength=len(phrases)) if len(of) else np.zeros(len(phrases), np.int64)
+    letters = np.bincount(of, end - start, len(phrases)) if len(of) else n
+    sound = (n > 0) & (letters + n - 1 == [len(p) for p in phrases]) & (n - 1 == [p.count(" ") for p in phrases])
+    index = np.flatnonzero(sound)
+    first, count = np.searchsorted(of, index), n[index]
+    head = h[first] if len(index) else np.zeros(0, np.uint64)
+    chain = head.copy()
+    for k in range(1, int(count.max(initial=0))):
+        more = count > k
+        chain[more] = _chain(chain[more], h[first[more] + k])
+    return index, count, head, chain
+
+
 class Phrases:
-    """A dictionary of phrases (words joined by blanks, folded), for matching; made from a bounded list."""
+    """A dictionary of phrases (words joined by blanks, folded), for matching; made from a bounded list. By number of words: hashes in order, and the phrases in one piece of bytes in the same order."""
 
     def __init__(self, phrases: Iterable[str]):
-        by_hash: dict[int, dict[int, list[str]]] = {}
-        for p in set(phrases):
-            words = p.split(" ")
-            h = np.array([hash_of(words[0])], np.uint64)
-            for w in words[1:]:
-                h = _chain(h, np.array([hash_of(w)], np.uint64))
-            by_hash.setdefault(len(words), {}).setdefault(int(h[0]), []).append(p)
-        self.heads = np.unique(np.array([hash_of(p.split(" ")[0]) for n in by_hash.values() for ps in n.values() for p in ps], np.uint64))
-        self.lengths = {n: np.array(sorted(x), np.uint64) for n, x in sorted(by_hash.items())}
-        self.known = {n: {h: set(ps) for h, ps in x.items()} for n, x in by_hash.items()}
+        each = sorted(set(phrases))
+        index, n, head, chain = hashed(each)
+        self._fill(pa.array(each, pa.string()).take(pa.array(index)), n, head, chain)
+
+    @classmethod
+    def of(cls, phrases: pa.Array, n: np.ndarray, head: np.ndarray, chain: np.ndarray) -> Phrases:
+        """From distinct phrases and what hashed() says of them."""
+        out = cls.__new__(cls)
+        out._fill(phrases, n, head, chain)
+        return out
+
+    def _fill(self, phrases: pa.Array, n: np.ndarray, head: np.ndarray, chain: np.ndarray) -> None:
+        self.size, self.heads = len(phrases), np.unique(head)
+        self.lengths: dict[int, np.ndarray] = {}
+        self.known: dict[int, tuple[np.ndarray, bytes]] = {}
+        for k in np.unique(n).tolist():
+            at = np.flatnonzero(n == k)
+            at = at[np.argsort(chain[at], kind="stable")]
+            part = phrases.take(pa.array(at)).cast(pa.large_string())
+            offsets, blob = part.buffers()[1:]
+            self.lengths[k] = chain[at]
+            self.known[k] = np.frombuffer(offsets, np.int64, len(at) + 1).copy(), b"" if blob is None else blob.to_pybytes()
 
     def match(self, texts: Sequence[str | None], langs: Sequence[str | None] | None = None) -> list[tuple[int, int, int, str]]:
         """(text, start, end, phrase) of every place where one occurs, by text, start and number of words."""
@@ -175,16 +204,28 @@ class Phrases:
                 at, chain = at[stay], chain[stay]
                 chain = _chain(chain, h[at + done])
                 done += 1
-            for k in np.flatnonzero(_within(chain, keys)):
-                i = int(at[k])
-                text = texts[of[i]]
-                p = " ".join(folded(text[start[j] : end[j]]) for j in range(i, i + n))
-                if p in self.known[n][int(chain[k])]:
-                    out.append((int(of[i]), int(start[i]), int(end[i + n - 1]), p))
+            hit = np.flatnonzero(_within(chain, keys))
+            slot = np.searchsorted(keys, chain[hit])
+            offsets, blob = self.known[n]
+            first = at[hit]
+            for i, j, t, s, e in zip(first.tolist(), slot.tolist(), of[first].tolist(), start[first].tolist(), end[first + n - 1].tolist()):
+                text = texts[t]
+                p = _folded(text[s:e]) if n == 1 else " ".join([_folded(text[a:b]) for a, b in zip(start[i : i + n].tolist(), end[i : i + n].tolist())])
+                word, key = p.encode("utf-8", "replace"), keys[j]
+                while blob[offsets[j] : offsets[j + 1]] != word:  # other phrases of the same hash
+                    j += 1
+                    if j == len(keys) or keys[j] != key:
+                        break
+                else:
+                    out.append((t, s, e, p))
         out.sort()
         return out
 
 
+def _folded(word: str) -> str:
+    return word.lower() if word.isascii() else folded(word)
+
+
 Hit = tuple[int, int, int, str]
 
 

@@ -92,15 +92,29 @@ def has_point(lat: Column, lon: Column) -> Column:
     return lat.isNotNull() & lon.isNotNull()
 
 
-def crowded(candidates: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame:
-    """Of a span with more than `limit` places, only administrative and populated ones whose code doesn't end in X or H."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "start", "end"))
+def crowded(candidates: DataFrame, limit: int = MAX_LOCATIONS, by: Sequence[str] = ("doc_id", "start", "end")) -> DataFrame:
+    """Of a span (or what else by names) with more than `limit` places, only administrative and populated ones whose code doesn't end in X or H."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     good = F.col("feat_class").isin("A", "P") & ~F.coalesce(F.col("feat_code"), F.lit("")).rlike("[XH]$")
     return candidates.withColumn("__n", n).where((F.col("__n") <= limit) | good).drop("__n")
 
 
-def code_mismatch(candidates: DataFrame) -> DataFrame:
+def with_spellings(places: DataFrame) -> DataFrame:
+    """places (phrase) with what spelt() asks: whether a name is among those of the phrase, and else how its codes and abbreviations are written."""
+    whole = Window.partitionBy("phrase")
+    named = F.coalesce(F.max(F.col("name_type") == "N").over(whole), F.lit(False))
+    return places.withColumn("__named", named).withColumn("__spellings", F.collect_set(F.when(~F.col("__named"), F.lower("name"))).over(whole))
+
+
+def spelt(candidates: DataFrame) -> DataFrame:
     """candidates without spans whose code or abbreviation isn't written as the text has it, but for case."""
+    known = lambda t: F.array_contains("__spellings", F.lower(t))
+    ok = F.when(F.col("__named"), True).otherwise(known(F.col("text")) | known(T.normalize_abbreviation(F.col("text"))))
+    return candidates.where(ok).drop("__named", "__spellings")
+
+
+def code_mismatch(candidates: DataFrame) -> DataFrame:
+    """spelt() of candidates whose spans have all their places."""
     ok = F.max((F.col("name_type") == "N") | (F.lower("name") == F.lower(T.normalize_abbreviation(F.col("text")))) | (F.lower("name") == F.lower("text")))
     return candidates.withColumn("__ok", ok.over(Window.partitionBy("doc_id", "start", "end"))).where("__ok").drop("__ok")
 

@@ -1,6 +1,6 @@
 """Tagging: every phrase of a dictionary that occurs in a text, as spans; and what to do when spans overlap.
 
-A dictionary of up to COMPILED phrases is compiled once and sent to all tasks: a text is read in
+A dictionary of up to COMPILED phrases is compiled once, its words hashed in parallel, and sent to all tasks: a text is read in
 one pass that hashes its words and looks runs of them up, and yields the spans found with their
 text and surroundings, so texts never move. tag() is then one narrow step, which also runs on a stream.
 
@@ -24,8 +24,8 @@ from ..functions import words
 
 TAG_LIMIT = 100_000
 TOO_MANY = "a document has more tags than the limit: break up the input"
-#: Dictionaries of up to so many phrases (some ten MB) are sent to all tasks.
-COMPILED = 200_000
+#: Dictionaries of up to so many phrases (some 26 bytes each) are sent to all tasks, of over so many as a broadcast that a worker reads once.
+COMPILED, SENT = 10_000_000, 20_000
 #: Texts, and words, that are worked on at once.
 SLICE, ROWS = 500, 20_000
 
@@ -43,8 +43,18 @@ def compiled(dictionary: DataFrame | Iterable[str]) -> words.Phrases | None:
     """The phrases of a dictionary, or None if there are more than COMPILED. The count is bounded where the phrases are read."""
     if not isinstance(dictionary, DataFrame):
         return words.Phrases(dictionary)
-    rows = dictionary.select("phrase").distinct().limit(COMPILED + 1).collect()
-    return words.Phrases(r.phrase for r in rows) if len(rows) <= COMPILED else None
+    rows = dictionary.where("phrase is not null").select("phrase").distinct()
+    if rows.count() > COMPILED:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, n, head, chain = words.hashed(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(n.astype("int32")), *[pa.array(x.view("int64")) for x in (head, chain)]], names=["phrase", "n", "head", "chain"])
+
+    table = rows.mapInArrow(run, "phrase string, n int, head long, chain long").toArrow()
+    n, head, chain = (table.column(c).to_numpy() for c in ("n", "head", "chain"))
+    return words.Phrases.of(table.column("phrase").cast(pa.large_string()).combine_chunks(), n, head.view("uint64"), chain.view("uint64"))
 
 
 def tag(docs: DataFrame, dictionary: DataFrame | words.Phrases, lang: str | None = None, window: int = 40, overlaps: str = "all", limit: int | None = None) -> DataFrame:
@@ -63,8 +73,11 @@ def tag(docs: DataFrame, dictionary: DataFrame | words.Phrases, lang: str | None
         return with_text(spans if limit is None else limited(spans, limit), docs, window)
     rows = docs.select("doc_id", "text", *([lang] if lang else []))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(known) if known.size > SENT else None
+    little = None if sent else known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value if sent else little
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)

@@ -44,8 +44,8 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def candidates(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(), ctx: Context = Context()) -> DataFrame:
-    """Spans with the places that they may mean, after the span filters."""
+def mentions(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(), ctx: Context = Context()) -> DataFrame:
+    """Spans that names of the gazetteer have in the texts, after the span filters."""
     spans = tagger.tag(docs, gaz, overlaps="longest_dominant_right", limit=tagger.TAG_LIMIT)
     t = F.col("text")
     bad = filters.too_short(t) | filters.broken_lines(t) | (F.lit(not params.postal) & filters.nonsense(t)) | filters.non_latin_noise(t) | filters.contraction(t, F.col("before")) | (F.length(t) < params.min_len)
@@ -54,11 +54,21 @@ def candidates(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(
     if params.match_filter is not None:
         bad = bad | params.match_filter
     spans = spans.where(~bad)
-    if ctx.stop_terms is not None:
-        spans = filters.without_terms(spans, ctx.stop_terms)
-    places = gaz.where(filters.has_point(F.col("lat"), F.col("lon")))
-    names = ("name", "name_type", "cc", "adm1", "feat_class", "feat_code", "lat", "lon", "id_bias", "place_id")
-    return filters.code_mismatch(filters.crowded(spans.join(places.select("phrase", *names), "phrase")))
+    return spans if ctx.stop_terms is None else filters.without_terms(spans, ctx.stop_terms)
+
+
+_NAMES = ("name", "name_type", "cc", "adm1", "feat_class", "feat_code", "lat", "lon", "id_bias", "place_id")
+
+
+def places_of(spans: DataFrame, gaz: DataFrame) -> DataFrame:
+    """spans (phrase, text) with the places that they may mean. How many places a phrase has, and how it is spelt, is found out in the gazetteer, which is smaller than the candidates."""
+    places = gaz.where(filters.has_point(F.col("lat"), F.col("lon"))).select("phrase", *_NAMES)
+    return filters.spelt(spans.join(filters.with_spellings(filters.crowded(places, by=("phrase",))), "phrase"))
+
+
+def candidates(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(), ctx: Context = Context()) -> DataFrame:
+    """Spans with the places that they may mean, after the span filters."""
+    return places_of(mentions(docs, gaz, params, ctx), gaz)
 
 
 def geocode(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(), ctx: Context = Context(), cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from geospan.functions import text as T
 from geospan.functions import words as W
 from geospan.operators import etl, filters, lookup, patterns, postal, rules, tagger
 from geospan.plans import fixtures as X
+from geospan.plans import geocoder
 from geospan.sources import readers, sinks
 from geospan.streaming import stream
 
@@ -180,6 +181,34 @@ def test_both_ways_of_tagging_agree(spark, monkeypatch):
     assert [r[4] for r in compiled["all"] if r[0] == 2] == ["上海"]
 
 
+def test_a_large_dictionary_is_compiled(spark, monkeypatch):
+    """Over 200,000 phrases, which went by joins before; the sent one finds what a list does, and nothing that shares a hash."""
+    rows = spark.range(250_000).select(F.concat(F.lit("customer "), F.col("id").cast("string")).alias("phrase")).unionAll(spark.createDataFrame([("europe",), (None,), ("not-words",), (" blank",), ("Upper",), ("two  blanks",)], "phrase string"))
+    known = tagger.compiled(rows)
+    assert known.size == 250_002  # "Upper" is never found, as texts are folded
+    docs = spark.createDataFrame([(1, "Customer 249999, EUROPE; customer 250000 not-words Upper two  blanks")], "doc_id long, text string")
+    want = [("customer 249999", 0, 15), ("europe", 17, 23)]
+    assert sorted((r.phrase, r.start, r.end) for r in tagger.tag(docs, known).collect()) == want
+    few = ["customer 249999", "europe", "customer 1"]
+    monkeypatch.setattr(W, "_chain", lambda first, following: first * 0)
+    assert [h[3] for h in W.Phrases(few).match(["Customer 249999, EUROPE; Customer 2"])] == ["customer 249999", "europe"]
+
+
+def test_candidates_leave_what_the_windows_over_spans_left(spark):
+    """Crowded phrases and codes spelt otherwise are settled in the gazetteer."""
+    town = [(f"T{i}", "Aton", "N", "H" if i < 5 else "P", "PPLH" if 5 <= i < 10 else "PPL") for i in range(110)]
+    code = [("c1", "ATON", "C", "A", "ADM1"), ("c2", "B.C", "A", "A", "ADM1"), ("c3", "EFG", "C", "A", "ADM1"), ("c4", "Efg", "N", "P", "PPL"), ("c5", "Xy-Z", "C", "A", "ADM1"), ("c6", "xy z", None, "A", "ADM1")]
+    gaz = tagger.phrases(spark.createDataFrame(town + code, "place_id string, name string, name_type string, feat_class string, feat_code string"))
+    for c, v in (("cc", F.lit("R0")), ("adm1", F.lit("01")), ("lat", F.lit(1.0)), ("lon", F.lit(1.0)), ("id_bias", F.lit(1))):
+        gaz = gaz.withColumn(c, v)
+    docs = spark.createDataFrame([(1, "In Aton and ATON, B.C. or EFG, then Xy-Z, XY Z"), (2, "B C")], "doc_id long, text string")
+    spans = geocoder.mentions(docs, gaz)
+    old = filters.code_mismatch(filters.crowded(spans.join(gaz.select("phrase", *geocoder._NAMES), "phrase")))
+    rows = lambda df: sorted((r.doc_id, r.start, r.text, r.place_id) for r in df.collect())
+    got = rows(geocoder.candidates(docs, gaz))
+    assert got == rows(old) and len(got) > 200 and {r[3] for r in got} >= {"c3", "c4"}
+
+
 def test_coordinates_meet_places_across_bands(spark):
     place = spark.createDataFrame([(1, 0, 4, "p", 10.0999, 5.0), (1, 9, 12, "q", 10.5, 5.0)], "doc_id int, start int, end int, place_id string, lat double, lon double")
     coords = spark.createDataFrame([(1, 10.1601, 5.0), (1, 10.04, 5.0)], "doc_id int, lat double, lon double")
