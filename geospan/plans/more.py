@@ -172,9 +172,13 @@ def geocode_rivals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_RIVAL} SELECT c_custkey AS doc_id, 12 AS start, count(*) AS n_places, count(DISTINCT rival.cc) AS n_countries FROM customer JOIN rival ON rival.name = 'Town ' || (c_custkey % 50) GROUP BY ALL")
 def rival_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of each town's span; populated places stay however many share the name."""
-    cands = geocoder.candidates(_rival_texts(spark, d), _rivals(spark, d)).where("feat_class = 'P'")
-    return cands.groupBy("doc_id", "start").agg(F.count(F.lit(1)).alias("n_places"), F.countDistinct("cc").alias("n_countries"))
+    """Candidates of each town's span; populated places stay however many share the name. What a span may mean hangs on how it is written, so places are counted once for each way of writing."""
+    gaz = _rivals(spark, d)
+    spans = kept(geocoder.mentions(_rival_texts(spark, d), gaz).select("doc_id", "start", "phrase", "text"), "mentions")
+    cands = geocoder.places_of(spans.select("phrase", "text").distinct(), gaz).where("feat_class = 'P'")
+    counted = cands.groupBy("phrase", "text").agg(F.count(F.lit(1)).alias("n"), F.collect_set("cc").alias("ccs"))
+    countries = F.size(F.array_distinct(F.flatten(F.collect_list("ccs"))))
+    return spans.join(counted, ["phrase", "text"]).groupBy("doc_id", "start").agg(F.sum("n").alias("n_places"), countries.cast("long").alias("n_countries"))
 
 
 @query("SELECT c_custkey AS doc_id, (120 - 20 - CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 10 END)::BIGINT AS kept FROM customer")
