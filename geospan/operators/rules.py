@@ -1,7 +1,8 @@
 """Geocoding rules. Each takes candidates and returns contributions; scores are the sums of them.
 
 candidates: a row for each place that a span may mean: doc_id, start, end, text, phrase, before, after (the
-text around), place_id, name, name_type, cc, adm1, feat_class, feat_code, lat, lon, id_bias.
+text around), place_id, name, name_type, cc, adm1, feat_class, feat_code, lat, lon, id_bias; with a weight, a row
+stands for so many places.
 contributions: doc_id, start, end, place_id, rule, score; a rule counts once for a place of a span.
 Spans are few and small against texts, and everything of a document hangs on doc_id, so that the
 joins and windows of one document meet in one partition.
@@ -27,6 +28,10 @@ ADJACENT = 5
 BUCKET = 64
 
 
+def _places(cands: DataFrame) -> Column:
+    return F.sum("weight") if "weight" in cands.columns else F.count(F.lit(1))
+
+
 def contribution(rows: DataFrame, rule: str, score: Column) -> DataFrame:
     return rows.select(*KEY, F.lit(rule).alias("rule"), score.cast("double").alias("score"))
 
@@ -198,7 +203,7 @@ def name_rule(cands: DataFrame) -> DataFrame:
 
 def code_noise(cands: DataFrame) -> DataFrame:
     """Upper-case spans of up to five letters with more than five places of which under a fifth is administrative: to be filtered out."""
-    n, adm = F.count(F.lit(1)), F.sum(F.when(F.col("feat_class") == "A", 1).otherwise(0))
+    n, adm = _places(cands), F.sum(F.when(F.col("feat_class") == "A", F.col("weight") if "weight" in cands.columns else 1).otherwise(0))
     grouped = cands.where(T.is_upper(F.col("text")) & (F.length("text") <= 5)).groupBy(*SPAN).agg(n.alias("n"), adm.alias("a"))
     return grouped.where("n > 5 and 5 * a < n").select(*SPAN)
 
@@ -255,7 +260,7 @@ def chosen(scored: DataFrame) -> DataFrame:
     whole = Window.partitionBy(*SPAN)
     ranked = scored.withColumns({
         "rank": F.row_number().over(order), "second_id": F.lead("place_id").over(order), "second_score": F.lead("score").over(order), "second": F.lead(F.struct("lat", "lon", "cc", "adm1", "name")).over(order),
-        "n_places": F.count(F.lit(1)).over(whole), "n_countries": F.size(F.collect_set("cc").over(whole)),
+        "n_places": _places(scored).over(whole), "n_countries": F.size(F.collect_set("cc").over(whole)),
     })
     return ranked.where("rank = 1").drop("rank")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -60,10 +60,35 @@ def mentions(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(),
 _NAMES = ("name", "name_type", "cc", "adm1", "feat_class", "feat_code", "lat", "lon", "id_bias", "place_id")
 
 
-def places_of(spans: DataFrame, gaz: DataFrame) -> DataFrame:
-    """spans (phrase, text) with the places that they may mean. How many places a phrase has, and how it is spelt, is found out in the gazetteer, which is smaller than the candidates."""
+def places_of(spans: DataFrame, gaz: DataFrame, alike: bool = False) -> DataFrame:
+    """spans (phrase, text) with the places that they may mean; alike: of places that no rule can tell apart only the first, as told_apart(). How many places a phrase has, and how it is spelt, is found out in the gazetteer, which is smaller than the candidates."""
     places = gaz.where(filters.has_point(F.col("lat"), F.col("lon"))).select("phrase", *_NAMES)
-    return filters.spelt(spans.join(filters.with_spellings(filters.crowded(places, by=("phrase",))), "phrase"))
+    places = filters.with_spellings(filters.crowded(places, by=("phrase",)))
+    return filters.spelt(spans.join(told_apart(places) if alike else places, "phrase"))
+
+
+#: A place, the one after it, and one more, as a place can't stand in a pair with itself.
+ALIKE = 3
+
+
+def told_apart(places: DataFrame) -> DataFrame:
+    """places with weight: of those of a phrase that only differ in place_id the first ones, the very first with the weight of those left out.
+
+    All of them have the same score in any text, so that the best place and the second are among the first. A place with several names under one phrase stays as it is.
+    """
+    several = F.count(F.lit(1)).over(Window.partitionBy("phrase", "place_id")) > 1
+    each = places.withColumn("__own", F.when(several, F.col("place_id")))
+    key = ("phrase", *[c for c in _NAMES if c != "place_id"], "__own")
+    order = Window.partitionBy(*key).orderBy("place_id")
+    ranked = each.withColumns({"__r": F.row_number().over(order), "__n": F.count(F.lit(1)).over(Window.partitionBy(*key))})
+    weight = F.when(F.col("__r") == 1, F.greatest(F.col("__n") - ALIKE, F.lit(0)) + 1).otherwise(1)
+    return ranked.withColumn("weight", weight.cast("long")).where(F.col("__r") <= ALIKE).drop("__r", "__n", "__own")
+
+
+def same_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, first): for each document the first one with the same text; for an id that has several texts, with the same texts."""
+    whole = docs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.coalesce(F.sha2("text", 256), F.lit("")))).alias("texts"))
+    return whole.join(whole.groupBy("texts").agg(F.min("doc_id").alias("first")).hint("merge"), "texts").select("doc_id", "first")
 
 
 def candidates(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(), ctx: Context = Context()) -> DataFrame:
@@ -77,9 +102,13 @@ def geocode(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(),
     cut materialises what all rules read: a function (df, name) that gives the table back; keep.kept() where there is none.
     """
     spark = docs.sparkSession
-    cands = candidates(docs, gaz, params, ctx)
     keep = cut or kept
-    cands = keep(cands, "candidates")
+    # Unless the caller's own rules or spans ask for more than texts and names: equal texts are worked on once, equal places weighed as one.
+    plain = not params.user_rules and params.match_filter is None and ctx.taxon_spans is None
+    if plain:
+        copies = keep(same_texts(docs), "copies")
+        docs = docs.join(copies.where(F.col("doc_id") == F.col("first")).select("doc_id").hint("merge"), "doc_id", "left_semi")
+    cands = keep(places_of(mentions(docs, gaz, params, ctx), gaz, plain), "candidates")
     gone = rules.bad_country_mention(cands).unionAll(rules.lone_codes(cands)).unionAll(rules.code_noise(cands))
     if ctx.person_names is not None:
         gone = gone.unionAll(rules.person_filter(cands, ctx.person_names))
@@ -101,6 +130,8 @@ def geocode(docs: DataFrame, gaz: DataFrame, params: Parameters = Parameters(),
     parts += [r(left) for r in params.user_rules]
     best = keep(rules.chosen(rules.totals(left, parts)), "chosen")
     whole = rules.merged(rules.confidence(best, countries), rules.name_code_pairs(left))
+    if plain:
+        whole = whole.withColumnRenamed("doc_id", "first").join(copies.hint("merge"), "first")
     return whole.select(*rules.SPAN, "text", "place_id", "name", "cc", "adm1", "feat_class", "feat_code", "lat", "lon", F.round("score", 6).alias("score"), "rules", "second_id", "confidence")
 
 

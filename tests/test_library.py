@@ -209,6 +209,21 @@ def test_candidates_leave_what_the_windows_over_spans_left(spark):
     assert got == rows(old) and len(got) > 200 and {r[3] for r in got} >= {"c3", "c4"}
 
 
+def test_equal_texts_and_places_are_worked_on_once(spark):
+    """geocode() as with every document and every place by itself, which a rule of the caller's own asks for."""
+    town = [(f"T{i:02}", "Aton", "N", "R0", f"0{i % 2}", "P", "PPL", 1.0, 1.0 + i % 3, 45) for i in range(40)]
+    more = [("T00", "ATON", "N", "R0", "00", "P", "PPL", 1.0, 1.0, 45), ("T01", "Aton", "N", "R0", "01", "P", "PPL", 1.0, 2.0, 45), ("B", "Bury", "N", "R0", "01", "A", "ADM1", 1.0, 1.0, 65), ("C", "Bury", "N", "R1", "01", "A", "ADM1", 1.0, 1.0, 65)]
+    gaz = tagger.phrases(spark.createDataFrame(town + more, "place_id string, name string, name_type string, cc string, adm1 string, feat_class string, feat_code string, lat double, lon double, id_bias int"))
+    docs = spark.createDataFrame([(i, "They met in Aton, Bury last week." if i % 2 else "Bury, Bury or Aton") for i in range(30)] + [(31, None), (32, ""), (33, "Aton"), (33, "Aton"), (34, "Aton"), (35, "ATON"), (35, "in Bury")], "doc_id long, text string")
+    assert dict(map(tuple, geocoder.same_texts(docs).collect())) == {i: 1 if i % 2 else 0 for i in range(30)} | {31: 31, 32: 32, 33: 33, 34: 34, 35: 35}
+    few = geocoder.places_of(geocoder.mentions(docs.where("doc_id = 34"), gaz), gaz, alike=True)
+    assert few.count() < 25 and few.agg(F.sum("weight")).first()[0] == 42
+    own = geocoder.Parameters(tag_coordinates=False, user_rules=(lambda c: rules.contribution(c.where("false"), "Own", F.lit(0.0)),))
+    rows = lambda params: sorted(map(str, geocoder.geocode(docs, gaz, params).collect()))
+    got = rows(geocoder.Parameters(tag_coordinates=False))
+    assert got == rows(own) and len(got) > 40
+
+
 def test_coordinates_meet_places_across_bands(spark):
     place = spark.createDataFrame([(1, 0, 4, "p", 10.0999, 5.0), (1, 9, 12, "q", 10.5, 5.0)], "doc_id int, start int, end int, place_id string, lat double, lon double")
     coords = spark.createDataFrame([(1, 10.1601, 5.0), (1, 10.04, 5.0)], "doc_id int, lat double, lon double")
