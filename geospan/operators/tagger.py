@@ -15,7 +15,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,19 @@ TAG_LIMIT = 100_000
 TOO_MANY = "a document has more tags than the limit: break up the input"
 #: Dictionaries of up to so many phrases (some 26 bytes each) are sent to all tasks, of over so many as a broadcast that a worker reads once.
 COMPILED, SENT = 10_000_000, 20_000
-#: Texts, and words, that are worked on at once.
-SLICE, ROWS = 500, 20_000
+#: Texts, their characters, and words, that are worked on at once.
+SLICE, CHARS, ROWS = 500, 1_000_000, 20_000
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of up to SLICE rows whose texts, in a column, have up to CHARS bytes together; a longer text is alone."""
+    size = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    total, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = total[at] - size[at]
+        n = max(1, min(SLICE, int(np.searchsorted(total, before + CHARS, "right")) - at))
+        yield batch.slice(at, n)
+        at += n
 
 
 def phrases(dictionary: DataFrame, name: str = "name", lang: str | None = None) -> DataFrame:
@@ -79,8 +92,7 @@ def tag(docs: DataFrame, dictionary: DataFrame | words.Phrases, lang: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value if sent else little
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
+            for batch in slices(whole, 1):
                 texts = batch.column(1).to_pylist()
                 hits = known.match(texts, batch.column(2).to_pylist() if lang else None)
                 if choose is not None:
@@ -104,8 +116,7 @@ def all_words(docs: DataFrame, *columns: str, lang: str | None = None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
+            for batch in slices(whole, n):
                 texts = batch.column(n).to_pylist()
                 of, start, end, _ = words.found(texts, batch.column(n + 1).to_pylist() if lang else None, hashes=False)
                 for lo in range(0, len(of), ROWS):
