@@ -91,16 +91,26 @@ def adjacent_spans(cands: DataFrame, gap: int = ADJACENT) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("start")
     spans = cands.select(*SPAN, "after").dropDuplicates([*SPAN])
     pairs = spans.withColumns({"n_start": F.lead("start").over(order), "n_end": F.lead("end").over(order)})
-    near = pairs.where((F.col("n_start") >= F.col("end")) & (F.col("n_start") - F.col("end") <= gap))
-    return near.withColumn("comma", F.substring(F.col("after"), F.lit(1), F.col("n_start") - F.col("end")).contains(",")).drop("after")
+    return pairs.where(_adjacent(gap)).withColumn("comma", _comma()).drop("after")
+
+
+def _adjacent(gap: int = ADJACENT) -> Column:
+    return (F.col("n_start") >= F.col("end")) & (F.col("n_start") - F.col("end") <= gap)
+
+
+def _comma() -> Column:
+    return F.substring(F.col("after"), F.lit(1), F.col("n_start") - F.col("end")).contains(",")
 
 
 def name_code_pairs(cands: DataFrame) -> DataFrame:
     """Pairs of a place and the province or country named right after it that holds it: keys of both, comma, contained."""
-    pairs = adjacent_spans(cands)
-    left = cands.select(*KEY, "cc", "adm1", F.col("feat_code").alias("l_code"))
-    right = cands.where(C.is_upper_admin(F.col("feat_class"), F.col("feat_code"))).select("doc_id", F.col("start").alias("n_start"), F.col("end").alias("n_end"), F.col("place_id").alias("n_place_id"), F.col("cc").alias("n_cc"), F.col("adm1").alias("n_adm1"), F.col("feat_code").alias("n_code"))
-    both = pairs.join(left, [*SPAN]).join(right, ["doc_id", "n_start", "n_end"])
+    holder = F.when(C.is_upper_admin(F.col("feat_class"), F.col("feat_code")), F.struct(F.col("place_id").alias("n_place_id"), F.col("cc").alias("n_cc"), F.col("adm1").alias("n_adm1"), F.col("feat_code").alias("n_code")))
+    # All of a document in one partition: neither the spans nor the pairs move again.
+    slim = cands.select(*SPAN, "after", F.struct("place_id", "cc", "adm1").alias("p"), holder.alias("h")).repartition("doc_id")
+    spans = slim.groupBy(*SPAN).agg(F.first("after").alias("after"), F.collect_list("p").alias("ps"), F.collect_list("h").alias("hs"))
+    order = Window.partitionBy("doc_id").orderBy("start")
+    near = spans.withColumns({"n_start": F.lead("start").over(order), "n_end": F.lead("end").over(order), "n": F.lead("hs").over(order)}).where(_adjacent() & (F.size("n") > 0))
+    both = near.withColumn("comma", _comma()).select(*SPAN, "n_start", "n_end", "comma", "n", F.explode("ps").alias("p")).select(*SPAN, "p.*", "n_start", "n_end", "comma", F.explode("n").alias("n")).select("*", "n.*").drop("n")
     inside = (F.col("cc") == F.col("n_cc")) & (C.is_political(F.col("n_code")) | (F.col("adm1") == F.col("n_adm1")))
     return both.where(inside & (F.col("place_id") != F.col("n_place_id"))).select(*KEY, "n_start", "n_end", "n_place_id", "n_code", "comma")
 
@@ -214,14 +224,18 @@ def heat_map(cands: DataFrame) -> DataFrame:
     The boost is scale * (names / 2 + characters / 8) / 10, scale being the number of names (2 for a province); the best bucket of a
     place counts. Provinces are only used where the document has under 50 spans and 5 countries.
     """
-    size = cands.groupBy("doc_id").agg(F.countDistinct("start", "end").alias("spans"), F.countDistinct("cc").alias("ccs"))
+    # All of a document in one partition, where windows meet all that the rule asks for; no table of cells is made.
     gh = G.geohash(F.col("lat"), F.col("lon"), 4)
-    small = (F.col("spans") < 50) & (F.col("ccs") < 5)
-    prov = F.when(small & F.col("adm1").isNotNull(), F.concat(F.lit("adm:"), C.path(F.col("cc"), F.col("adm1"))))
-    each = cands.join(size, "doc_id").select(*KEY, "phrase", F.explode(F.array_compact(F.array(F.concat(F.lit("3:"), F.substring(gh, 1, 3)), F.concat(F.lit("4:"), gh), prov))).alias("bucket"))
-    names = each.select("doc_id", "bucket", "phrase").distinct().groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("phrase")).alias("chars")).where("n >= 2")
-    scale = F.when(F.col("bucket").startswith("adm:"), 2).otherwise(F.col("n"))
-    boosted = each.join(names, ["doc_id", "bucket"]).groupBy(*KEY).agg(F.max(scale * (F.col("n") / 2 + F.col("chars") / 8) / 10).alias("s"))
+    slim = cands.select(*KEY, "phrase", "cc", gh.alias("b4"), F.when(F.col("adm1").isNotNull(), C.path(F.col("cc"), F.col("adm1"))).alias("prov")).repartition("doc_id")
+    doc = Window.partitionBy("doc_id")
+    small = (F.size(F.collect_set(F.struct("start", "end")).over(doc)) < 50) & (F.size(F.collect_set("cc").over(doc)) < 5)
+    rows = slim.withColumn("small", small).select(*KEY, "phrase", F.substring("b4", 1, 3).alias("b3"), "b4", F.when(F.col("small"), F.col("prov")).alias("prov"))
+    for bucket in ("b3", "b4", "prov"):
+        names = F.collect_set("phrase").over(Window.partitionBy("doc_id", bucket))
+        rows = rows.withColumn("names", names).withColumns({"n": F.size("names"), "chars": F.aggregate("names", F.lit(0).cast("long"), lambda a, x: a + F.length(x))})
+        boost = (F.lit(2) if bucket == "prov" else F.col("n")) * (F.col("n") / 2 + F.col("chars") / 8) / 10
+        rows = rows.withColumn(f"s_{bucket}", F.when(F.col(bucket).isNotNull() & (F.col("n") >= 2), boost)).drop("names", "n", "chars")
+    boosted = rows.withColumn("s", F.greatest("s_b3", "s_b4", "s_prov")).where("s is not null").groupBy(*KEY).agg(F.max("s").alias("s"))
     return contribution(boosted, "HeatMap", F.col("s"))
 
 
@@ -242,12 +256,15 @@ def context_rule(cands: DataFrame, countries: DataFrame, provinces: DataFrame, p
 
 def totals(cands: DataFrame, contributions: Sequence[DataFrame]) -> DataFrame:
     """cands with score and rules: each rule once for a place of a span (its largest score), summed."""
-    every = contributions[0]
-    for c in contributions[1:]:
-        every = every.unionAll(c)
-    once = every.groupBy(*KEY, "rule").agg(F.max("score").alias("score"))
-    summed = once.groupBy(*KEY).agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("rule")).alias("rules"))
-    return cands.join(summed, [*KEY])
+    # Candidates and contributions of a document meet in one partition, where chosen() finds them too.
+    every = cands.withColumns({"rule": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+    for c in contributions:
+        every = every.unionByName(c, allowMissingColumns=True)
+    place = Window.partitionBy(*KEY)
+    best = F.row_number().over(Window.partitionBy(*KEY, "rule").orderBy(F.desc("score")))
+    once = every.repartition("doc_id").withColumn("__r", best).where("rule is null or __r = 1").drop("__r")
+    summed = once.withColumn("__s", F.sum("score").over(place)).withColumn("rules", F.array_sort(F.collect_set("rule").over(place)))
+    return summed.where("rule is null and size(rules) > 0").withColumn("score", F.col("__s")).select(*cands.columns, "score", "rules")
 
 
 def only_default(rules: Column) -> Column:
@@ -315,13 +332,17 @@ def confidence(best: DataFrame, countries: DataFrame, lower_text: bool = False)
 
 def merged(best: DataFrame, pairs: DataFrame) -> DataFrame:
     """'A, B' as one span where the chosen places are a pair: A's place, B's span dropped; so are codes of countries that stand alone. best: chosen rows with text; pairs: name_code_pairs()."""
-    tail = best.select("doc_id", F.col("start").alias("n_start"), F.col("end").alias("n_end"), F.col("place_id").alias("n_place_id"), F.col("text").alias("n_text"))
-    real = pairs.select(*KEY, "n_start", "n_end", "n_place_id").distinct().join(tail, ["doc_id", "n_start", "n_end", "n_place_id"])
-    joined = best.join(real, [*KEY], "left")
-    between = F.substring(F.col("after"), F.lit(1), F.col("n_start") - F.col("end"))
-    whole = joined.withColumns({"text": F.when(F.col("n_end").isNull(), F.col("text")).otherwise(F.concat("text", between, "n_text")), "end": F.coalesce("n_end", "end")})
-    used = real.join(best.select(*KEY), [*KEY], "left_semi").select("doc_id", F.col("n_start").alias("start"), F.col("n_end").alias("end")).distinct()
-    left = whole.join(used, [*SPAN], "left_anti")
+    # Pairs come to the chosen places by document; the place that one is in a pair with is the next one.
+    link = pairs.select(*KEY, F.struct("n_start", "n_end", "n_place_id").alias("__n")).distinct()
+    mine = best.withColumns({"__n": F.lit(None).cast(link.schema["__n"].dataType), "__best": F.lit(True)})
+    rows = mine.unionByName(link, allowMissingColumns=True)
+    linked = rows.repartition("doc_id").withColumn("__links", F.collect_set("__n").over(Window.partitionBy(*KEY))).where("__best").drop("__n", "__best")
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    following = F.struct(F.lead("start").over(order).alias("n_start"), F.lead("end").over(order).alias("n_end"), F.lead("place_id").over(order).alias("n_place_id"))
+    joined = linked.withColumns({"__next": following, "n_text": F.lead("text").over(order)}).withColumn("__real", F.array_contains("__links", F.col("__next")))
+    joined = joined.withColumn("__used", F.coalesce(F.lag("__real").over(order), F.lit(False)))
+    between = F.substring(F.col("after"), F.lit(1), F.col("__next.n_start") - F.col("end"))
+    left = joined.where("__real or not __used").withColumns({"text": F.when(F.col("__real"), F.concat("text", between, "n_text")).otherwise(F.col("text")), "end": F.when(F.col("__real"), F.col("__next.n_end")).otherwise(F.col("end"))})
     bare = C.is_political(F.col("feat_code")) & (F.col("name_type") != "N") & (F.length("text") <= 3)
     return left.where(~bare).select(*best.columns)
 

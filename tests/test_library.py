@@ -1,5 +1,6 @@
 """The library's own operators on small inputs; the registered queries are held against DuckDB in test_queries.py."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,29 @@ def test_equal_texts_and_places_are_worked_on_once(spark):
     assert got == rows(own) and len(got) > 40
 
 
+def test_slices_are_bounded_in_characters(spark):
+    """Five hundred long texts were worked on at once; a batch now goes in parts of a million bytes, a longer text alone."""
+    texts = ["x" * n for n in (10, 600_000, 500_000, 3_000_000, 5)] + [None, ""] * 400 + ["y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = [p.column(1).to_pylist() for p in tagger.slices(batch.slice(1), 1)]
+    assert sum(parts, []) == texts[1:] and all(len(p) <= 500 and (len(p) == 1 or sum(len(t or "") for t in p) <= tagger.CHARS) for p in parts)
+    assert [len(p) for p in parts][:4] == [1, 1, 1, 500] and list(tagger.slices(batch.slice(0, 0), 1)) == []
+
+
+def test_rules_keep_documents_in_one_partition(spark):
+    """Heat map, pairs and totals shuffle their candidates once, by document, and don't join them with themselves."""
+    cands = spark.createDataFrame([], "doc_id long, start int, end int, text string, phrase string, before string, after string, place_id string, name string, name_type string, cc string, adm1 string, feat_class string, feat_code string, lat double, lon double, id_bias int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation,org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation")
+    try:
+        for df in (rules.heat_map(cands), rules.name_code_pairs(cands), rules.chosen(rules.totals(cands, [rules.default_score(cands), rules.name_rule(cands)]))):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
+
+
 def test_coordinates_meet_places_across_bands(spark):
     place = spark.createDataFrame([(1, 0, 4, "p", 10.0999, 5.0), (1, 9, 12, "q", 10.5, 5.0)], "doc_id int, start int, end int, place_id string, lat double, lon double")
     coords = spark.createDataFrame([(1, 10.1601, 5.0), (1, 10.04, 5.0)], "doc_id int, lat double, lon double")
