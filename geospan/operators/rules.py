@@ -32,6 +32,11 @@ def _places(cands: DataFrame) -> Column:
     return F.sum("weight") if "weight" in cands.columns else F.count(F.lit(1))
 
 
+def _by_document(rows: DataFrame) -> DataFrame:
+    """rows with all of a document in one partition. The number of partitions is given, as else few are made of them: the rows are small when packed and ten times as large when sorted."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def contribution(rows: DataFrame, rule: str, score: Column) -> DataFrame:
     return rows.select(*KEY, F.lit(rule).alias("rule"), score.cast("double").alias("score"))
 
@@ -106,7 +111,7 @@ def name_code_pairs(cands: DataFrame) -> DataFrame:
     """Pairs of a place and the province or country named right after it that holds it: keys of both, comma, contained."""
     holder = F.when(C.is_upper_admin(F.col("feat_class"), F.col("feat_code")), F.struct(F.col("place_id").alias("n_place_id"), F.col("cc").alias("n_cc"), F.col("adm1").alias("n_adm1"), F.col("feat_code").alias("n_code")))
     # All of a document in one partition: neither the spans nor the pairs move again.
-    slim = cands.select(*SPAN, "after", F.struct("place_id", "cc", "adm1").alias("p"), holder.alias("h")).repartition("doc_id")
+    slim = _by_document(cands.select(*SPAN, "after", F.struct("place_id", "cc", "adm1").alias("p"), holder.alias("h")))
     spans = slim.groupBy(*SPAN).agg(F.first("after").alias("after"), F.collect_list("p").alias("ps"), F.collect_list("h").alias("hs"))
     order = Window.partitionBy("doc_id").orderBy("start")
     near = spans.withColumns({"n_start": F.lead("start").over(order), "n_end": F.lead("end").over(order), "n": F.lead("hs").over(order)}).where(_adjacent() & (F.size("n") > 0))
@@ -226,7 +231,7 @@ def heat_map(cands: DataFrame) -> DataFrame:
     """
     # All of a document in one partition, where windows meet all that the rule asks for; no table of cells is made.
     gh = G.geohash(F.col("lat"), F.col("lon"), 4)
-    slim = cands.select(*KEY, "phrase", "cc", gh.alias("b4"), F.when(F.col("adm1").isNotNull(), C.path(F.col("cc"), F.col("adm1"))).alias("prov")).repartition("doc_id")
+    slim = _by_document(cands.select(*KEY, "phrase", "cc", gh.alias("b4"), F.when(F.col("adm1").isNotNull(), C.path(F.col("cc"), F.col("adm1"))).alias("prov")))
     doc = Window.partitionBy("doc_id")
     small = (F.size(F.collect_set(F.struct("start", "end")).over(doc)) < 50) & (F.size(F.collect_set("cc").over(doc)) < 5)
     rows = slim.withColumn("small", small).select(*KEY, "phrase", F.substring("b4", 1, 3).alias("b3"), "b4", F.when(F.col("small"), F.col("prov")).alias("prov"))
@@ -262,7 +267,7 @@ def totals(cands: DataFrame, contributions: Sequence[DataFrame]) -> DataFrame:
         every = every.unionByName(c, allowMissingColumns=True)
     place = Window.partitionBy(*KEY)
     best = F.row_number().over(Window.partitionBy(*KEY, "rule").orderBy(F.desc("score")))
-    once = every.repartition("doc_id").withColumn("__r", best).where("rule is null or __r = 1").drop("__r")
+    once = _by_document(every).withColumn("__r", best).where("rule is null or __r = 1").drop("__r")
     summed = once.withColumn("__s", F.sum("score").over(place)).withColumn("rules", F.array_sort(F.collect_set("rule").over(place)))
     return summed.where("rule is null and size(rules) > 0").withColumn("score", F.col("__s")).select(*cands.columns, "score", "rules")
 
@@ -336,7 +341,7 @@ def merged(best: DataFrame, pairs: DataFrame) -> DataFrame:
     link = pairs.select(*KEY, F.struct("n_start", "n_end", "n_place_id").alias("__n")).distinct()
     mine = best.withColumns({"__n": F.lit(None).cast(link.schema["__n"].dataType), "__best": F.lit(True)})
     rows = mine.unionByName(link, allowMissingColumns=True)
-    linked = rows.repartition("doc_id").withColumn("__links", F.collect_set("__n").over(Window.partitionBy(*KEY))).where("__best").drop("__n", "__best")
+    linked = _by_document(rows).withColumn("__links", F.collect_set("__n").over(Window.partitionBy(*KEY))).where("__best").drop("__n", "__best")
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     following = F.struct(F.lead("start").over(order).alias("n_start"), F.lead("end").over(order).alias("n_end"), F.lead("place_id").over(order).alias("n_place_id"))
     joined = linked.withColumns({"__next": following, "n_text": F.lead("text").over(order)}).withColumn("__real", F.array_contains("__links", F.col("__next")))
